@@ -1,0 +1 @@
+"""Batch only: there are no streams among the operators. Suites run on micro-batches through ``foreachBatch``."""
