@@ -29,7 +29,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4: a pair of similarity 0.8 shares none with probability 3e-5.
 BANDS, ROWS = 20, 4
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-CHUNK_WORDS, MEMO_SIZE = 200_000, 1 << 20
+CHUNK_WORDS, MEMO_SIZE = 100_000, 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
