@@ -6,10 +6,11 @@ A document looks at no rank beyond what fills its coordinates (its total weight
 never reach: the cost is one hash a shingle and k log k darts a document. The earliest dart of each of k coordinates is
 the signature; two signatures agree at a coordinate with the (weighted) Jaccard similarity as probability.
 
-Texts with equal words are one node. Nodes that share a band are candidates: each is compared with two hubs of its
-bucket, exactly, on whole shingle sets; what is linked forms components. Only where a bucket still holds more than one
-component are further pairs drawn, and only across components, so a bucket of true copies costs as many comparisons as
-it has members. All buckets, components and counts are DataFrames.
+Texts with equal words are one node. Nodes that share a band are candidates: each is compared with the hub of
+its bucket (the member with most company), exactly, on whole shingle sets. Two members that are both similar to the
+hub are of one class already; for the others ``_across`` draws exactly those pairs that can still be similar, by what
+they share beyond the hub. So a bucket costs about as many comparisons as it has members, and no link is lost to it.
+All buckets, components and counts are DataFrames.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, id_text, texts
@@ -170,14 +171,46 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) pairs whose sets are similar enough, and those that are not (linked: boolean)."""
+def _with_items(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     items = lambda name: sets.select(F.col("node").alias(name), F.col("items").alias(f"{name}_items"))
-    both = pairs.join(items("a"), "a").where(F.size("a_items") > 0).join(items("b"), "b")
+    return pairs.join(items("a"), "a").where(F.size("a_items") > 0).join(items("b"), "b")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, linked) of (a, b) pairs: whether their sets are similar enough."""
     n, m = F.size("a_items"), F.size("b_items")
     common = F.size(F.array_intersect("a_items", "b_items"))
     linked = F.when(F.least(n, m) < similarity * F.greatest(n, m), F.lit(False)).otherwise(common >= similarity * (n + m - common) - 1e-9)
-    return both.select("a", "b", linked.alias("linked"))
+    return _with_items(pairs, sets).select("a", "b", linked.alias("linked"))
+
+
+def _across(checked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) pairs of one hub that may be similar although one of them is not similar to the hub.
+
+    Let E(x) be what x and the hub do not share, c = (1 - s) / (1 + s). A pair is similar if |x| and |y| are at least
+    1 / c times the size of their symmetric difference, which is |E(x)| + |E(y)| - 2 |E(x) & E(y)|. If x is not similar
+    to the hub, |E(x)| > c (|x| + |hub|), so y must share at least t = (|E(y)| - c (|y| - |hub|)) / 2 of its elements
+    of E(y) with E(x), about half. One of them is then among the |E(y)| - t + 1 rarest of E(y): only these are looked
+    up in the sets E(x) of the unlike, and where they meet at their first common element, what is left of both sets must
+    still hold (|E(x)| - c |x| + |E(y)| - c |y|) / 2. Edits of one's own are rarest of all, so copies with chance edits
+    meet nobody.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    groups = checked.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").select("b")
+    own = _with_items(checked.join(groups, "b"), sets)
+    edits = F.concat(F.array_except("a_items", "b_items"), F.array_except("b_items", "a_items"))
+    size = F.size("edits")
+    own = own.select("a", "b", "linked", F.size("a_items").alias("na"), F.size("b_items").alias("nb"), edits.alias("edits"))
+    t = F.ceil((size - c * (F.col("na") - F.col("nb"))) / 2 - 1e-9)
+    own = checkpoint(own.select("a", "b", "linked", size.alias("size"), (size - c * F.col("na")).alias("excess"), (size - F.greatest(t, F.lit(1)) + 1).alias("most"), F.explode("edits").alias("e")))
+    df = own.groupBy("b", "e").agg(F.count(F.lit(1)).alias("df"))
+    ranked = own.join(df, ["b", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "e"))).where("df > 1")
+    # What a side can still share from its element at this rank on.
+    ranked = checkpoint(ranked.select("a", "b", "e", "linked", "excess", "most", "rank", (F.col("size") - F.col("rank") + 1).alias("rest")))
+    y = ranked.where("rank <= most").select("b", "e", F.col("a").alias("y"), F.col("excess").alias("y_excess"), F.col("rest").alias("y_rest"))
+    x = ranked.where("not linked").select("b", "e", F.col("a").alias("x"), F.col("excess").alias("x_excess"), F.col("rest").alias("x_rest"))
+    enough = F.least("x_rest", "y_rest") >= (F.col("x_excess") + F.col("y_excess")) / 2 - 1e-9
+    return y.join(x, (y.b == x.b) & (y.e == x.e) & (F.col("x") != F.col("y")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
@@ -192,9 +225,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = checkpoint(docs.mapInArrow(_signed(weights), "doc_id long, node binary, bands array<long>"))
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), F.max("node").alias("hub2")).where("n > 1")
-    members = checkpoint(rows.join(hubs, "bucket").select("bucket", "node", "hub", "hub2", "n"))
-    stars = members.select(F.col("node").alias("a"), F.explode(F.array("hub", "hub2")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = checkpoint(rows.join(shared, "bucket").select("bucket", "node", "n"))
+    weights_ = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weights_, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
+    stars = members.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = members.select("node").distinct()
     one = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("one_id"))
     read = docs.join(one.hint("shuffle_hash"), F.coalesce(docs.doc_id, F.lit(-1)) == F.col("one_id")).select("node", "text")
@@ -202,17 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = read.mapInArrow(_own_text, "node binary, text string").mapInArrow(_sets(weights), "node binary, items array<long>")
     sets = checkpoint(sets.groupBy("node").agg(F.first("items").alias("items")))
     checked = checkpoint(_similar(stars, sets, similarity))
-    labels = components(checked.where("linked").select("a", "b"))
-    # Where a bucket holds several components, compare across them what has not been compared.
-    placed = members.where("n > 2").select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_ = checkpoint(placed.join(mixed, "bucket", "left_semi"))
-    left = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = left.join(right, "bucket").where("la <> lb and a < b").select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = checkpoint(_similar(across, sets, similarity).where("linked").select("a", "b"))
-    if not more.isEmpty():
-        labels = components(checked.where("linked").select("a", "b").union(more))
+    links = checked.where("linked").select("a", "b")
+    more = checkpoint(_similar(_across(checked, sets, similarity), sets, similarity).where("linked").select("a", "b"))
+    labels = components(links.union(more))
     classed = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class"))
     sizes = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return classed.join(sizes, "class").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
