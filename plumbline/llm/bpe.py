@@ -20,44 +20,60 @@ from pyspark.sql import DataFrame
 
 from .common import id_text
 
-#: Pre-tokens up to this many characters are remembered, so many at most; then the memory starts anew.
-MEMO_CHARS, MEMO_SIZE = 64, 1 << 19
+#: Pre-tokens up to this many characters are remembered, so many at most, and so many pairs of tokens; then the memory
+#: starts anew.
+MEMO_CHARS, MEMO_SIZE, MOST_PAIRS = 64, 3 << 19, 1 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+class Pairs(dict):
+    """The rank that two adjacent tokens merge to, by left << 32 | right; -1 if they do not. Filled as pairs are met."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+
+    def __missing__(self, key: int) -> int:
+        if len(self) >= MOST_PAIRS:
+            self.clear()
+        self[key] = rank = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
+        return rank
+
+
+def merge(piece: bytes, pairs: Pairs) -> list[int]:
     """The ids of one pre-token: always the pair of lowest rank, leftmost first, as the rank files define it."""
-    if (whole := ranks.get(piece)) is not None:
+    if (whole := pairs.ranks.get(piece)) is not None:
         return [whole]
-    n, get = len(piece), ranks.get
-    after, before, pair = list(range(1, n + 1)), list(range(-1, n)), [-1] * (n + 1)
+    n = len(piece)
+    ids = list(map(pairs.byte.__getitem__, piece))
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+    pair = [pairs[x << 32 | y] for x, y in zip(ids, ids[1:], strict=False)]
+    pair.append(-1)
     top, blocks, buckets = 0, {}, {}
-    todo = [(i, i + 2) for i in range(n - 1)]
-    while True:
-        for at, end in todo:
-            rank = get(piece[at:end], -1)
-            pair[at] = rank
-            if rank >= 0:
-                if rank in buckets:
-                    heappush(buckets[rank], at)
-                else:
-                    buckets[rank] = [at]
-                    block = rank >> 8
-                    blocks[block] = blocks.get(block, 0) | 1 << (rank & 255)
-                    top |= 1 << block
-        if not top:
-            break
-        todo = ()
+    for at, rank in enumerate(pair):
+        if rank >= 0:
+            if rank in buckets:
+                buckets[rank].append(at)
+            else:
+                buckets[rank] = [at]
+                block = rank >> 8
+                blocks[block] = blocks.get(block, 0) | 1 << (rank & 255)
+                top |= 1 << block
+    while top:
         block = (top & -top).bit_length() - 1
         bits = blocks[block]
         low = bits & -bits
         rank = block << 8 | low.bit_length() - 1
         bucket = buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
+        if len(bucket) > 1:
+            at = heappop(bucket)
+        else:
+            at = bucket[0]
             del buckets[rank]
             if bits == low:
                 del blocks[block]
@@ -68,16 +84,34 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             continue  # stale: one side has been merged since
         gone = after[at]
         end = after[gone]
-        after[at], pair[gone], pair[at] = end, -1, -1
+        after[at], pair[gone], ids[at] = end, -1, rank
         left = before[at]
         if end < n:
             before[end] = at
-            todo = ((left, end), (at, after[end])) if left >= 0 else ((at, after[end]),)
-        elif left >= 0:
-            todo = ((left, end),)
+            pair[at] = new = pairs[rank << 32 | ids[end]]
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    block = new >> 8
+                    blocks[block] = blocks.get(block, 0) | 1 << (new & 255)
+                    top |= 1 << block
+        else:
+            pair[at] = -1
+        if left >= 0:
+            pair[left] = new = pairs[ids[left] << 32 | rank]
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], left)
+                else:
+                    buckets[new] = [left]
+                    block = new >> 8
+                    blocks[block] = blocks.get(block, 0) | 1 << (new & 255)
+                    top |= 1 << block
     out, at = [], 0
     while at < n:
-        out.append(ranks[piece[at : after[at]]])
+        out.append(ids[at])
         at = after[at]
     return out
 
@@ -86,7 +120,7 @@ class Coder:
     """Encodes and decodes with one vocabulary; remembers short pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.pairs, self.split = Pairs(ranks), regex.compile(pattern).findall
         size = max(ranks.values()) + 1
         self.bytes_of, self.text_of = [b""] * size, [str(i) for i in range(size)]
         for token, rank in ranks.items():
@@ -95,7 +129,7 @@ class Coder:
 
         class Memo(dict):
             def __missing__(self, text: str) -> list[int]:
-                ids = merge(text.encode("utf-8", "surrogatepass"), coder.ranks)
+                ids = merge(text.encode("utf-8", "surrogatepass"), coder.pairs)
                 if len(text) <= MEMO_CHARS:
                     if len(self) >= MEMO_SIZE:
                         self.clear()
@@ -117,6 +151,7 @@ class Coder:
 _CODERS: dict[tuple[int, str], Coder] = {}
 
 
+
 def bpe(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, with_ids, the ids themselves; one row per input row.
 
