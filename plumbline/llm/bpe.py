@@ -22,7 +22,7 @@ from .common import id_text
 
 #: Pre-tokens up to this many characters are remembered, so many at most, and so many pairs of tokens; then the memory
 #: starts anew.
-MEMO_CHARS, MEMO_SIZE, MOST_PAIRS = 64, 3 << 19, 1 << 20
+MEMO_CHARS, MEMO_SIZE, MOST_PAIRS = 64, 1 << 20, 1 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -151,6 +151,14 @@ class Coder:
 _CODERS: dict[tuple[int, str], Coder] = {}
 
 
+def coder_of(data: bytes, pattern: str) -> Coder:
+    """The worker's own coder, which outlives its tasks. (A task's function would carry a copy of the dict itself.)"""
+    key = (hash(data), pattern)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(read_ranks(data), pattern)
+    return _CODERS[key]
+
 
 def bpe(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, with_ids, the ids themselves; one row per input row.
@@ -168,11 +176,7 @@ def bpe(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = No
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32()))] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(shared.value), pattern)
-        if key not in _CODERS:
-            _CODERS.clear()
-            _CODERS[key] = Coder(read_ranks(shared.value), pattern)
-        coder = _CODERS[key]
+        coder = coder_of(shared.value, pattern)
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
