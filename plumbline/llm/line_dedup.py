@@ -21,6 +21,8 @@ from .common import checkpoint
 #: Tokens of the tree's path, least tokens of a line that can be boilerplate, share of tokens that must agree.
 DEPTH, LEAST, SIMILAR = 5, 4, 0.7
 WILD = "<*>"
+#: Up to so many lines (some 40 bytes each) that need a closer look are broadcast to the scan of the texts.
+BROADCAST_LINES = 1_000_000
 NO_ID = 2**63 - 1
 BLANK = " "
 
@@ -43,21 +45,28 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, simil
     leaf = F.xxhash64("n", _masked(F.substring_index("line", BLANK, depth)))
     places = checkpoint(lines.select("__d", "__t", "i", leaf.alias("leaf"), F.xxhash64("line").alias("lh")))
     doc, place = F.struct("__d", "__t"), F.struct("__d", "__t", "i")
-    same = checkpoint(places.groupBy("leaf", "lh").agg(F.min(place).alias("first"), F.max(doc).alias("last")))
-    one_doc = (F.col("first.__d") == F.col("last.__d")) & (F.col("first.__t") == F.col("last.__t"))
-    exact = places.join(same.where(~one_doc).select("leaf", "lh", "first"), ["leaf", "lh"]).where(place != F.col("first")).select("__d", "__t", "i")
+    same = places.groupBy("leaf", "lh").agg(F.min(place).alias("f"), F.max(doc).alias("last"))
+    many = (F.col("f.__d") != F.col("last.__d")) | (F.col("f.__t") != F.col("last.__t"))
+    same = checkpoint(same.select("leaf", "lh", F.col("f.__d").alias("d"), F.col("f.__t").alias("t"), F.col("f.i").alias("k"), many.alias("many")))
+    exact = places.join(same.where("many").select("leaf", "lh", "d", "t", "k"), ["leaf", "lh"]).where("__d <> d or __t <> t or i <> k").select("__d", "__t", "i")
     # The rest of the leaves that several documents reach, one row per distinct line.
-    single = same.where(one_doc).select("leaf", "lh", "first")
-    shared = single.groupBy("leaf").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo.__d <> hi.__d or lo.__t <> hi.__t").select("leaf")
-    todo = single.join(shared, "leaf", "left_semi").groupBy(F.col("first.__d").alias("__d"), F.col("first.__t").alias("__t")).agg(F.collect_list(F.struct(F.col("first.i").alias("i"), "leaf", "lh")).alias("todo"))
-    texts = docs.select("__d", "__t", "__text").join(todo, ["__d", "__t"]).dropDuplicates(["__d", "__t"])
-    texts = texts.withColumn("__lines", F.split("__text", "\n", -1)).select("__d", "__t", "__lines", F.explode("todo").alias("x"))
-    tokens = checkpoint(texts.select("__d", "__t", "x.i", "x.leaf", "x.lh", F.posexplode(F.split(F.element_at("__lines", F.col("x.i") + 1), BLANK, -1)).alias("p", "raw")).select("__d", "__t", "i", "leaf", "lh", "p", F.xxhash64(_masked(F.col("raw"))).alias("tok")))
+    single = same.where("not many").drop("many")
+    shared = single.groupBy("leaf").agg(F.min(F.struct("d", "t")).alias("lo"), F.max(F.struct("d", "t")).alias("hi")).where("lo <> hi").select("leaf")
+    todo = single.join(shared, "leaf", "left_semi").groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_list(F.struct(F.col("k").alias("i"), "leaf", "lh")).alias("todo"))
+    todo = checkpoint(todo)
+    if todo.agg(F.coalesce(F.sum(F.size("todo")), F.lit(0))).first()[0] <= BROADCAST_LINES:
+        todo = F.broadcast(todo)  # else both sides are shuffled by document
+    texts = docs.select("__d", "__t", "__text").join(todo, ["__d", "__t"]).select("__d", "__t", F.split("__text", "\n", -1).alias("__lines"), F.explode("todo").alias("x"))
+    hashed = F.transform(F.split(F.element_at("__lines", F.col("x.i") + 1), BLANK, -1), lambda x: F.xxhash64(_masked(x)))
+    # Rows that repeat id and text come together in the first aggregate below: they are one document.
+    arrays = checkpoint(texts.select("__d", "__t", "x.i", "x.leaf", "x.lh", hashed.alias("tokens")))
+    tokens = arrays.groupBy("leaf", "lh").agg(F.min("tokens").alias("tokens")).select("leaf", "lh", F.posexplode("tokens").alias("p", "tok"))
     counted = tokens.groupBy("leaf", "p", "tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     most = counted.groupBy("leaf", "p").agg(F.max("c").alias("c"))
-    top = counted.join(most, ["leaf", "p", "c"]).select("leaf", "p", "tok", F.lit(1).alias("same"))
-    agree = tokens.join(top, ["leaf", "p", "tok"], "left").groupBy("__d", "__t", "i", "leaf").agg(F.count("same").alias("same"), F.count(F.lit(1)).alias("n"))
-    members = checkpoint(agree.where(F.col("same") >= similar * F.col("n")).select("__d", "__t", "i", "leaf"))
+    top = counted.join(most, ["leaf", "p", "c"]).select("leaf", "p", "tok")
+    agree = tokens.join(top, ["leaf", "p", "tok"], "left_semi").groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("agree"))
+    members = arrays.join(agree, ["leaf", "lh"]).where(F.col("agree") >= similar * F.size("tokens"))
+    members = checkpoint(members.select("__d", "__t", "i", "leaf").distinct())
     firsts = members.groupBy("leaf").agg(F.min(place).alias("first"), F.max(doc).alias("last")).where("first.__d <> last.__d or first.__t <> last.__t").select("leaf", "first")
     alike = members.join(firsts, "leaf").where(place != F.col("first")).select("__d", "__t", "i")
     return exact.unionByName(alike).groupBy("__d", "__t").agg(F.array_sort(F.collect_set("i")).alias("drops"))
