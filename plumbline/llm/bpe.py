@@ -18,11 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, sole
 
-#: Pre-tokens up to this many characters are remembered, so many at most, and so many pairs of tokens; then the memory
-#: starts anew.
-MEMO_CHARS, MEMO_SIZE, MOST_PAIRS = 64, 1 << 20, 1 << 20
+#: Pre-tokens up to this many characters are remembered, so many in each of two generations (those that are met
+#: again move to the newer one, the older is dropped as it fills); then the bound of known pairs of tokens.
+MEMO_CHARS, MEMO_SIZE, MOST_PAIRS = 64, 3 << 17, 1 << 19
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -36,6 +36,7 @@ class Pairs(dict):
         super().__init__()
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
+        self.own = {rank: rank for rank in ranks.values()}  # one int object for each id
         self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
 
     def __missing__(self, key: int) -> int:
@@ -84,7 +85,7 @@ def merge(piece: bytes, pairs: Pairs) -> list[int]:
             continue  # stale: one side has been merged since
         gone = after[at]
         end = after[gone]
-        after[at], pair[gone], ids[at] = end, -1, rank
+        after[at], pair[gone], ids[at] = end, -1, pairs.own[rank]
         left = before[at]
         if end < n:
             before[end] = at
@@ -125,13 +126,16 @@ class Coder:
         self.bytes_of, self.text_of = [b""] * size, [str(i) for i in range(size)]
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        coder = self
+        coder, self.older = self, {}
 
         class Memo(dict):
-            def __missing__(self, text: str) -> list[int]:
-                ids = merge(text.encode("utf-8", "surrogatepass"), coder.pairs)
+            def __missing__(self, text: str) -> tuple[int, ...]:
+                ids = coder.older.get(text)
+                if ids is None:
+                    ids = tuple(merge(text.encode("utf-8", "surrogatepass"), coder.pairs))
                 if len(text) <= MEMO_CHARS:
                     if len(self) >= MEMO_SIZE:
+                        coder.older = dict(self)
                         self.clear()
                     self[text] = ids
                 return ids
@@ -153,6 +157,7 @@ _CODERS: dict[tuple[int, str], Coder] = {}
 
 def coder_of(data: bytes, pattern: str) -> Coder:
     """The worker's own coder, which outlives its tasks. (A task's function would carry a copy of the dict itself.)"""
+    sole("bpe", _CODERS.clear)
     key = (hash(data), pattern)
     if key not in _CODERS:
         _CODERS.clear()

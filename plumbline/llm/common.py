@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -42,3 +44,19 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """Python strings one at a time, so that a batch is never held twice."""
     for value in batch.column(column):
         yield value.as_py() or ""
+
+
+_OWNER: list = [None, None]
+
+
+def sole(owner: str, release=None) -> None:
+    """Called as a task begins: what another operator remembers in this worker is released, and the memory given back."""
+    if _OWNER[0] != owner:
+        if _OWNER[1]:
+            _OWNER[1]()
+        _OWNER[:] = [owner, release]
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: it keeps the memory for itself

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_text, texts
+from .common import checkpoint, id_text, sole, texts
 
 WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4: a pair of similarity 0.8 shares none with probability 3e-5.
@@ -118,6 +118,8 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 def _signed(weights: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("minhash")
+
         def done(ids, nodes, regions):
             found = bands(signatures(regions))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(BANDS if len(r) else 0 for r in regions)]), pa.int32()), pa.array(found[[len(r) > 0 for r in regions]].ravel(), pa.int64()))

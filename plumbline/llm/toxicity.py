@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, texts
+from .common import id_text, sole, texts
 
 #: Bounds: labelled rows that are read to learn, terms of the lexicon, terms matched with edits, words known to be harmless.
 TRAIN_ROWS, MOST_TERMS, MOST_FUZZY, MOST_KNOWN = 16_000, 3_000, 200, 50_000
@@ -35,7 +35,7 @@ QUOTES = "\"'“”„«»‘’‚‹›`"
 #: Words of report beside a quoted term, in the four languages of the corpus.
 REPORT = frozenset("said says wrote called quote quoted quotes word term means meaning example sagte schrieb zitat wort begriff nannte dit écrit mot terme appelé citation dijo escribió palabra término llamó cita".split())
 #: Tokens remembered by a worker; then its memory starts anew.
-MEMO_SIZE = 1 << 20
+MEMO_SIZE = 1 << 18
 
 
 class Trie:
@@ -269,6 +269,7 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sole("toxicity")
         model.prepare()
         for part in parts:
             yield pd.Series([model.score(text or "") for text in part], dtype="float64")
