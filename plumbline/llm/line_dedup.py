@@ -4,8 +4,8 @@ A line is parsed down a tree of fixed depth: by its number of tokens, then by it
 a digit replaced by a wildcard. What reaches one leaf is generalised: at each further position the leaf's template has
 the token that recurs most there (any of them in a tie), or a wildcard if none does; a line belongs to the template if at least a share
 SIMILAR of its tokens agree with it. A template that recurs across documents is kept where it first occurs (least
-document, then least line) and dropped everywhere else. Lines that recur word for word are their own template and need
-no generalisation, so only the rest of those leaves that several documents reach is ever split into tokens.
+document, then least line) and dropped everywhere else. Repeats of a line word for word
+need no generalisation: only one of each, in those leaves that several documents reach, is ever split into tokens.
 
 Every count is a partial aggregate before its shuffle, the joins of hot keys may be split by AQE, and text crosses the
 network by document, never by leaf.
@@ -49,8 +49,8 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, simil
     many = (F.col("f.__d") != F.col("last.__d")) | (F.col("f.__t") != F.col("last.__t"))
     same = checkpoint(same.select("leaf", "lh", F.col("f.__d").alias("d"), F.col("f.__t").alias("t"), F.col("f.i").alias("k"), many.alias("many")))
     exact = places.join(same.where("many").select("leaf", "lh", "d", "t", "k"), ["leaf", "lh"]).where("__d <> d or __t <> t or i <> k").select("__d", "__t", "i")
-    # The rest of the leaves that several documents reach, one row per distinct line.
-    single = same.where("not many").drop("many")
+    # The leaves that several documents reach, one row per distinct line: where it first occurs.
+    single = same.drop("many")
     shared = single.groupBy("leaf").agg(F.min(F.struct("d", "t")).alias("lo"), F.max(F.struct("d", "t")).alias("hi")).where("lo <> hi").select("leaf")
     todo = single.join(shared, "leaf", "left_semi").groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_list(F.struct(F.col("k").alias("i"), "leaf", "lh")).alias("todo"))
     todo = checkpoint(todo)
@@ -99,7 +99,7 @@ l1 AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS n,
 l AS (SELECT * FROM l1 WHERE n >= 4),
 same AS (SELECT n, lead, line, min((doc_id, i)) AS f, min(doc_id) AS lo, max(doc_id) AS hi FROM l GROUP BY n, lead, line),
 exact AS (SELECT l.doc_id, l.i FROM l JOIN same USING (n, lead, line) WHERE lo <> hi AND (l.doc_id, l.i) <> f),
-single AS (SELECT n, lead, line, f[1] AS doc_id, f[2] AS i FROM same WHERE lo = hi),
+single AS (SELECT n, lead, line, f[1] AS doc_id, f[2] AS i FROM same),
 shared AS (SELECT n, lead FROM single GROUP BY n, lead HAVING min(doc_id) <> max(doc_id)),
 todo AS (SELECT * FROM single SEMI JOIN shared USING (n, lead)),
 tokens AS (SELECT n, lead, doc_id, i, p, regexp_replace(raw, '\S*[0-9]\S*', '<*>', 'g') AS tok
