@@ -4,8 +4,10 @@ A classifier learned from a labelled table gives every document posteriors over
 documents count for several. Each document has a nonnegative rate, its expected number of copies, and rates are fitted
 so that the expected tokens of every domain meet its target: projected gradient on the least squares of the domain
 totals, each weighed by the inverse of the domain's size. Its gradient for one document is a product of the
-document's posteriors with one residual per domain; the driver sees nothing but these residuals, and a document's rate
-is an expression over its posteriors and the residuals so far, computed where the document is.
+document's posteriors with one residual per domain. Projection is lazy (dual averaging, with momentum): the steps add
+up unprojected, and a rate is what they add up to, projected onto the rates allowed. So all steps so far are one number
+per domain, the driver sees nothing but these, and a document's rate is one short expression over its posteriors,
+computed where the document is, of the same size at every step.
 """
 
 from __future__ import annotations
@@ -92,13 +94,20 @@ def fit(members: DataFrame, k: int, targets: list[float] | None, least_rate: flo
     if least_rate > 0:  # no document may be lost: enough tokens that every domain's mean rate is at least that
         up = max((least_rate * x / g for x, g in zip(natural, goal, strict=True) if g > 0), default=1.0)
         goal = [g * up for g in goal]
-    rate = F.lit(1.0)
-    reached = natural
+    rate_of = lambda pulls: F.greatest(F.lit(float(least_rate)), F.lit(1.0) - sum((F.col(f"p{j}") * F.lit(e) for j, e in enumerate(pulls)), F.lit(0.0)))
+    at = stepped = [0.0] * k
+    pace, rate = 1.0, rate_of(at)
+    reached = natural if least_rate <= 1 else sums(rate)
     for _ in range(STEPS):
         residual = [(r - g) / x if x > 0 else 0.0 for r, g, x in zip(reached, goal, natural, strict=True)]
         if max((abs(r - g) / max(g, 1.0) for r, g, x in zip(reached, goal, natural, strict=True) if x > 0), default=0.0) < TOLERANCE:
             break
-        rate = F.greatest(F.lit(float(least_rate)), rate - sum((F.col(f"p{j}") * F.lit(e) for j, e in enumerate(residual)), F.lit(0.0)))
+        last, stepped = stepped, [a + e for a, e in zip(at, residual, strict=True)]
+        if sum(e * (b - a) for e, a, b in zip(residual, last, stepped, strict=True)) < 0:
+            pace = 1.0  # the momentum leads away: begin anew
+        pace, before_pace = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
+        at = [b + (before_pace - 1) / pace * (b - a) for a, b in zip(last, stepped, strict=True)]
+        rate = rate_of(at)
         before, reached = reached, sums(rate)
         if max(abs(a - b) for a, b in zip(before, reached, strict=True)) < TOLERANCE * max(1.0, sum(natural)) * 0.01:
             break  # the bound holds the rest back
