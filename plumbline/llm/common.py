@@ -49,14 +49,20 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
 _OWNER: list = [None, None]
 
 
+def give_back() -> None:
+    """What this worker no longer uses goes back to the machine: an idle worker shares it with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps the memory for itself
+
+
 def sole(owner: str, release=None) -> None:
     """Called as a task begins: what another operator remembers in this worker is released, and the memory given back."""
     if _OWNER[0] != owner:
         if _OWNER[1]:
             _OWNER[1]()
         _OWNER[:] = [owner, release]
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library: it keeps the memory for itself
+        give_back()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, sole, texts
+from .common import give_back, id_text, sole, texts
 
 #: Bounds: labelled rows that are read to learn, terms of the lexicon, terms matched with edits, words known to be harmless.
 TRAIN_ROWS, MOST_TERMS, MOST_FUZZY, MOST_KNOWN = 16_000, 3_000, 200, 50_000
@@ -129,6 +129,10 @@ class Model:
 
         self._memo = Memo()
 
+    def forget(self) -> None:
+        """Drop what prepare() and scoring have built, which refers to itself."""
+        self.__dict__ = self.__getstate__()
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
@@ -208,6 +212,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("toxicity")
     counts = (Counter(), Counter())
     for batch in batches:
         for toxic, text in zip(batch.column("toxic").to_pylist(), texts(batch), strict=True):
@@ -218,6 +223,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _term_rows(counts)
             counts = (Counter(), Counter())
     yield _term_rows(counts)
+    del counts
+    give_back()
 
 
 def _term_rows(counts) -> pa.RecordBatch:
@@ -253,10 +260,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     model.stems = [s for s in model.stems if sum(w.startswith(s) for w in model.words) != 1 or not any(w.startswith(s) for w in model.words)]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("toxicity")
         model.prepare()
         for batch in batches:
             found = [model.features(text) for text in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
+        model.forget()
+        give_back()
 
     fit = read.where("turn >= 3").select("toxic", "text").mapInArrow(measured, "toxic long, x array<double>").toPandas()
     if len(fit):
@@ -273,6 +283,8 @@ def scorer(model: Model):
         model.prepare()
         for part in parts:
             yield pd.Series([model.score(text or "") for text in part], dtype="float64")
+        model.forget()
+        give_back()
 
     return score
 
