@@ -22,7 +22,7 @@ from .common import id_text, sole
 
 #: Pre-tokens up to this many characters are remembered, so many in each of two generations (those that are met
 #: again move to the newer one, the older is dropped as it fills); then the bound of known pairs of tokens.
-MEMO_CHARS, MEMO_SIZE, MOST_PAIRS = 64, 3 << 17, 1 << 19
+MEMO_CHARS, MEMO_SIZE, MOST_PAIRS = 64, 3 << 16, 1 << 18
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:

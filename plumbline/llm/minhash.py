@@ -50,6 +50,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -118,7 +122,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 def _signed(weights: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("minhash")
+        sole("minhash", forget_words)
 
         def done(ids, nodes, regions):
             found = bands(signatures(regions))
