@@ -6,6 +6,7 @@ the token that recurs most there (any of them in a tie), or a wildcard if none d
 SIMILAR of its tokens agree with it. A template that recurs across documents is kept where it first occurs (least
 document, then least line) and dropped everywhere else. Repeats of a line word for word
 need no generalisation: only one of each, in those leaves that several documents reach, is ever split into tokens.
+Lines of few tokens, scripts without blanks among them, count as repeats word for word only.
 
 Every count is a partial aggregate before its shuffle, the joins of hot keys may be split by AQE, and text crosses the
 network by document, never by leaf.
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Tokens of the tree's path, least tokens of a line that can be boilerplate, share of tokens that must agree.
+#: Tokens of the tree's path, least tokens of a line that is generalised, share of tokens that must agree.
 DEPTH, LEAST, SIMILAR = 5, 4, 0.7
 WILD = "<*>"
 #: Up to so many lines (some 40 bytes each) that need a closer look are broadcast to the scan of the texts.
 BROADCAST_LINES = 1_000_000
-NO_ID = 2**63 - 1
+NO_ID, SHORT = 2**63 - 1, 0
 BLANK = " "
 
 
@@ -41,8 +42,9 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, simil
     """(__d, __t, drops: sorted array of line numbers from 0) of documents that lose lines; docs is _keyed."""
     lines = docs.select("__d", "__t", F.posexplode(F.split("__text", "\n", -1)).alias("i", "line"))
     count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(BLANK), F.lit(""))) + 1
-    lines = lines.withColumn("n", count).where(F.col("n") >= least)
-    leaf = F.xxhash64("n", _masked(F.substring_index("line", BLANK, depth)))
+    lines = lines.withColumn("n", count).where((F.col("n") >= least) | F.col("line").rlike(r"\S"))
+    # Lines that are too short to be generalised share one leaf.
+    leaf = F.when(F.col("n") >= least, F.xxhash64("n", _masked(F.substring_index("line", BLANK, depth)))).otherwise(SHORT)
     places = checkpoint(lines.select("__d", "__t", "i", leaf.alias("leaf"), F.xxhash64("line").alias("lh")))
     doc, place = F.struct("__d", "__t"), F.struct("__d", "__t", "i")
     same = places.groupBy("leaf", "lh").agg(F.min(place).alias("f"), F.max(doc).alias("last"))
@@ -50,7 +52,7 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, simil
     same = checkpoint(same.select("leaf", "lh", F.col("f.__d").alias("d"), F.col("f.__t").alias("t"), F.col("f.i").alias("k"), many.alias("many")))
     exact = places.join(same.where("many").select("leaf", "lh", "d", "t", "k"), ["leaf", "lh"]).where("__d <> d or __t <> t or i <> k").select("__d", "__t", "i")
     # The leaves that several documents reach, one row per distinct line: where it first occurs.
-    single = same.drop("many")
+    single = same.drop("many").where(F.col("leaf") != SHORT)
     shared = single.groupBy("leaf").agg(F.min(F.struct("d", "t")).alias("lo"), F.max(F.struct("d", "t")).alias("hi")).where("lo <> hi").select("leaf")
     todo = single.join(shared, "leaf", "left_semi").groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_list(F.struct(F.col("k").alias("i"), "leaf", "lh")).alias("todo"))
     todo = checkpoint(todo)
@@ -75,7 +77,8 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, simil
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """docs with the text of its kept lines, and n_lines and n_dropped; every row stays, though its text may be empty.
 
-    Lines of fewer than ``least`` tokens always stay. Null text counts as empty (one empty line). A null id counts as
+    Lines of fewer than ``least`` tokens go only where they repeat another document's word for word; blank ones of so
+    few tokens always stay. Null text counts as empty (one empty line). A null id counts as
     the largest; rows that repeat id and text are one document. Further columns pass through; columns named n_lines or
     n_dropped are replaced. An empty table gives an empty result.
     """

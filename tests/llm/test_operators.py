@@ -126,6 +126,13 @@ def test_line_dedup(spark):
     assert [got[i].text for i in range(5)] == [texts[0], "short", "", "", ""] and got[0].n == 0
 
 
+def test_line_dedup_drops_short_repeats(spark):
+    long = "長い行" * 500
+    texts = ["All rights reserved.\n\nown a", "own b\n\nAll rights reserved.\n" + long, "Share\nown 1", long + "\nown 2\n \nShare", "twice\ntwice\n \n\r", "\r"]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == [(texts[0], 0), ("own b\n\n" + long, 1), (texts[2], 0), ("own 2\n ", 2), (texts[4], 0), ("\r", 0)]
+
+
 def test_mixing(spark):
     rows = [(i, ("der und die " if i % 4 == 0 else "the and of ") * (5 + i % 7), "de" if i % 4 == 0 else "en") for i in range(200)] + [(900, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
