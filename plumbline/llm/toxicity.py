@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import give_back, id_text, sole, texts
 
-#: Bounds: labelled rows that are read to learn, terms of the lexicon, terms matched with edits, words known to be harmless.
-TRAIN_ROWS, MOST_TERMS, MOST_FUZZY, MOST_KNOWN = 16_000, 3_000, 200, 50_000
+#: Bounds: labelled rows that are read to learn, terms of the lexicon, words known to be harmless.
+TRAIN_ROWS, MOST_TERMS, MOST_KNOWN = 16_000, 3_000, 50_000
 #: Tokens to either side that make a hit's context; a burst of abuse is measured over as many.
 WINDOW = 8
 STEMS = (4, 5, 6)
@@ -38,6 +38,11 @@ REPORT = frozenset("said says wrote called quote quoted quotes word term means m
 MEMO_SIZE = 1 << 18
 
 
+def reach(term: str) -> int:
+    """Edits within which a token is a misspelling of a term: each other word of three letters is near one of three."""
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+
+
 class Trie:
     """Lexicon terms; nodes are dicts by character, and the key "" holds the term that ends there."""
 
@@ -60,7 +65,7 @@ class Trie:
         return best
 
     def near(self, word: str, most: int) -> tuple[int, str] | None:
-        """(edits, term) of the nearest term within ``most`` edits; ties go to the smaller term."""
+        """(edits, term) of the nearest term within ``most`` edits and its own reach; ties go to the smaller term."""
         n = len(word)
         bits = Counter()
         for i, ch in enumerate(word):
@@ -74,7 +79,7 @@ class Trie:
                 if ch == "":
                     for edits, s in enumerate(states):
                         if s >> n & 1:
-                            if best is None or (edits, below) < best:
+                            if edits <= reach(below) and (best is None or (edits, below) < best):
                                 best = (edits, below)
                             break
                     continue
@@ -92,7 +97,7 @@ class Trie:
 
 @dataclass
 class Model:
-    """words and stems: the lexicon; spelt: those words that are also matched with edits; known: words that are no misspelling; then the regression."""
+    """words and stems: the lexicon, whose words are also matched with edits; spelt: further terms matched with edits; known: words that are no misspelling; then the regression."""
 
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
@@ -103,21 +108,21 @@ class Model:
     def prepare(self) -> None:
         self._words, self._known = set(self.words), set(self.known)
         self._stems = Trie(self.stems)
-        # Terms with a known beginning are found by it already.
-        spelt = [w for w in self.spelt if len(w) >= 5 and not self._stems.stem(w)]
-        self._fuzzy = Trie(spelt)
-        # Pigeonhole: a word within e edits of a term holds one of the term's e + 1 parts unchanged, its first at the
-        # start, its last at the end. What shares no part needs no automaton.
-        self._heads, self._tails, self._mids = set(), set(), set()
+        spelt = sorted(w for w in {*self.words, *self.spelt} if reach(w))
+        # Pigeonhole: a word within e edits of a term holds one of the term's e + 1 parts unchanged: its first at the
+        # start, its last at the end, or, with an edit in either of these, its middle at most one place off. It is also
+        # at most e longer or shorter. So the trie is dealt into one for each part, with the lengths as a bit set, and
+        # only those of the word's own parts are walked.
+        heads, tails, mids = {}, {}, {}
         for w in spelt:
-            parts = 3 if len(w) >= 9 else 2
+            parts = reach(w) + 1
             cut = len(w) // parts
-            self._heads.add(w[:cut])
-            self._tails.add(w[cut * (parts - 1) :])
+            heads.setdefault(w[:cut], []).append(w)
+            tails.setdefault(w[cut * (parts - 1) :], []).append(w)
             if parts == 3:
-                self._mids.add(w[cut : 2 * cut])
-        self._head_sizes, self._tail_sizes = sorted({*map(len, self._heads)}), sorted({*map(len, self._tails)})
-        self._mid_rule = re.compile("|".join(map(re.escape, sorted(self._mids)))) if self._mids else None
+                mids.setdefault((cut, w[cut : 2 * cut]), []).append(w)
+        self._heads, self._tails, self._mids = ({part: (sum({1 << n for w in own for n in range(len(w) - reach(w), len(w) + reach(w) + 1)}), Trie(own)) for part, own in by.items()} for by in (heads, tails, mids))
+        self._head_sizes, self._tail_sizes, self._cuts = sorted({*map(len, heads)}), sorted({*map(len, tails)}), sorted({cut for cut, _ in mids})
         model = self
 
         class Memo(dict):
@@ -145,19 +150,20 @@ class Model:
             return 1.0
         if self._stems.stem(word):
             return 1.0
-        if len(word) < 4 or len(word) > 40:
-            return 0.0
         plain = STRIP.sub("", token.translate(LEET))
         if plain != word and plain in self._words:
             return 0.9
         if word in self._known:
             return 0.0
-        if not (any(plain[:n] in self._heads for n in self._head_sizes) or any(plain[-n:] in self._tails for n in self._tail_sizes) or (len(plain) >= 7 and self._mid_rule and self._mid_rule.search(plain))):
-            return 0.0
-        near = self._fuzzy.near(plain, 2 if len(plain) >= 8 else 1)
-        if near is None or near[0] > (2 if len(near[1]) >= 9 else 1):
-            return 0.0
-        return 0.7 ** near[0]
+        size, best = len(plain), 3
+        places = [self._heads.get(plain[:n]) for n in self._head_sizes if n <= size]
+        places += [self._tails.get(plain[-n:]) for n in self._tail_sizes if n <= size]
+        places += [self._mids.get((cut, plain[at : at + cut])) for cut in self._cuts if size >= 3 * cut - 2 for at in (cut - 1, cut, cut + 1)]
+        for place in places:
+            if place and place[0] >> size & 1 and best > 1:
+                near = place[1].near(plain, min(best - 1, 2 if size >= 7 else 1))
+                best = near[0] if near else best
+        return 0.7**best if best < 3 else 0.0
 
     def features(self, text: str) -> list[float]:
         """(1, log of the strength, log of the strongest window, strength by length, log of quoted hits)."""
@@ -250,12 +256,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counts = read.where("turn < 3").select("toxic", "text").mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (tox + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     least = max(3, round(0.004 * tox))
-    marks = counts.where((F.col("toxic") >= least) & (odds >= 3) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).select("term", "toxic").toPandas()
-    # Misspellings are sought of terms that mark many rows: those of a rare term would mostly be other words.
-    common, marks = set(marks.term[marks.toxic >= max(3, 0.015 * tox)].head(MOST_FUZZY)), marks.term
+    marks = counts.where((F.col("toxic") >= least) & (odds >= 3) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).select("term").toPandas()
+    marks = marks.term
     known = counts.where((F.col("clean") >= 3) & ~F.col("term").endswith("*")).orderBy(F.desc("clean"), "term").limit(MOST_KNOWN).select("term").toPandas().term
     stems = sorted(t[:-1] for t in marks if t.endswith("*"))
-    model = Model([t for t in marks if t[-1] != "*"], [s for i, s in enumerate(stems) if not any(s != o and s.startswith(o) for o in stems[max(0, i - 3) : i])], [t for t in marks if t in common and t[-1] != "*"], list(known))
+    model = Model([t for t in marks if t[-1] != "*"], [s for i, s in enumerate(stems) if not any(s != o and s.startswith(o) for o in stems[max(0, i - 3) : i])], known=list(known))
     # A beginning is only of use where it says more than the words themselves: it must hold several of them.
     model.stems = [s for s in model.stems if sum(w.startswith(s) for w in model.words) != 1 or not any(w.startswith(s) for w in model.words)]
 

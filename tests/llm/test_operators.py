@@ -120,6 +120,40 @@ def test_toxicity(spark):
     assert sum(got[i].predicted == t for i, _, t in rows if got[i].held_out) >= 0.95 * sum(r.held_out for r in got.values())
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_toxicity_matches_the_whole_lexicon():
+    rng = random.Random(4)
+    words = ["scum", "idiot", "idiots", "abcdefgh", "abcdefghz", "x" * 45, *("".join(rng.choice("abcde") for _ in range(rng.randint(4, 14))) for _ in range(400))]
+    model = toxicity.Model(words=words, stems=["idiot"])
+    model.prepare()
+    assert [model._strength(w) for w in ("scvm", "skum", "scm", "idjot", "idjots", "x" * 44 + "y", "other")] == pytest.approx([0.7] * 5 + [0.7, 0.0])
+    for word in words[6:] * 3:
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(word))
+            word = word[:at] + rng.choice(("", "a", "e" + word[at])) + word[at + 1 :]
+        if len(word) > 2:
+            near = min((e for w in words if abs(len(w) - len(word)) < 3 and (e := edits(word, w)) <= (1 if len(w) < 9 else 2)), default=None)
+            assert model._strength(word) == (0.0 if near is None else pytest.approx(0.7**near)), word
+
+
+def test_toxicity_misspelt_rare_terms(spark):
+    terms = [a + b + "qu" for a in ("kr", "bl", "zw", "fn", "gl", "pst", "vr", "dw") for b in "aeiou"] * 2
+    terms = [t if i < 40 else t[::-1] for i, t in enumerate(terms)]
+    rows = [(i, "it was so " + (" ".join(terms[(i + k) % 80] for k in range(3)) if i % 2 else "a day"), i % 2) for i in range(3200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs.drop("toxic"), labels)
+    model.prepare()
+    assert {*terms} <= {*model.words} and all(model._strength("x" + t[1:]) > 0 for t in model.words)
+
+
 def test_line_dedup(spark):
     texts = ["Posted by user 17 on Monday at noon\nfirst own line is here", "short\nPosted by user 23 on Monday at noon", None, "Posted by user 17 on Monday at noon", ""]
     got = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
