@@ -142,7 +142,14 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def _strength(self, token: str) -> float:
-        """How sure it is that a token is a term: 1 for an exact one, less by each edit, 0 for none."""
+        """How sure it is that a token is a term: 1 for an exact one, less by each edit, 0 for none.
+
+        Terms that punctuation joins to one token add up, unless the token without it is one itself.
+        """
+        fused, parts = self._term(token), list(filter(None, STRIP.split(token)))
+        return max(fused, sum(map(self._term, parts))) if len(parts) > 1 else fused
+
+    def _term(self, token: str) -> float:
         word = STRIP.sub("", token)
         if not word:
             return 0.0

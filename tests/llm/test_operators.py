@@ -144,6 +144,13 @@ def test_toxicity_matches_the_whole_lexicon():
             assert model._strength(word) == (0.0 if near is None else pytest.approx(0.7**near)), word
 
 
+def test_toxicity_terms_joined_by_punctuation():
+    model = toxicity.Model(words=["idiot", "moron"], known=["other", "words"])
+    model.prepare()
+    joined = ["idiot/moron", "idiot,moron", "idiot...you", "so_idjot", "other/words", "id-iot", "a" * 50 + "/moron"]
+    assert [model._strength(w) for w in joined] == pytest.approx([2.0, 2.0, 1.0, 0.7, 0.0, 1.0, 1.0])
+
+
 def test_toxicity_misspelt_rare_terms(spark):
     terms = [a + b + "qu" for a in ("kr", "bl", "zw", "fn", "gl", "pst", "vr", "dw") for b in "aeiou"] * 2
     terms = [t if i < 40 else t[::-1] for i, t in enumerate(terms)]
