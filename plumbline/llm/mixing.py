@@ -21,7 +21,7 @@ from .common import checkpoint
 
 #: Labelled rows that are read to learn, words counted for each domain, words of evidence after which belief is capped.
 TRAIN_ROWS, WORDS_EACH, EVIDENCE = 4_000, 6, 20.0
-MOST_DOMAINS, STEPS, TOLERANCE = 64, 40, 1e-5
+STEPS, TOLERANCE = 40, 1e-5
 NO_ID = 2**63 - 1
 
 
@@ -57,9 +57,9 @@ class Classifier:
 
 
 def train(table: DataFrame) -> Classifier:
-    """From (domain, text); the commonest MOST_DOMAINS domains count. An empty table gives one domain that holds all."""
+    """From (domain, text); every domain counts. An empty table gives one domain that holds all."""
     table = checkpoint(table.withColumn("__text", F.lower("text")))
-    sizes = table.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(MOST_DOMAINS).collect()
+    sizes = table.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return Classifier([""], [], [1.0], [[]])
     domains = sorted(r.domain for r in sizes)
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, table: DataFrame, targets: dict[str, float] | None = No
     """(doc_id, n_tokens, posteriors: map, rate, copies), one row per input row.
 
     targets gives each domain's weight; by default a domain gets its own tokens to the power ``temper``, which lifts the
-    small ones. copies is the rate rounded up or down by a hash of id and text, so that its expectation is the rate and
+    small ones; a weight of a domain that the labelled rows do not hold is an error. copies is the rate rounded up or down by a hash of id and text, so that its expectation is the rate and
     every run gives the same. Null and empty text have no tokens and the prior as posteriors. Repeated rows get equal
     rates. An empty table gives an empty result, no labelled rows one domain.
     """
@@ -129,6 +129,8 @@ def mix(docs: DataFrame, table: DataFrame, targets: dict[str, float] | None = No
 
 def rated(docs, table, targets, least_rate, temper, id_col="doc_id", text_col="text") -> tuple[DataFrame, Classifier]:
     model = train(table)
+    if unknown := sorted({*(targets or {})} - {*model.domains}):
+        raise ValueError(f"no labelled rows of the domains {unknown}, so their targets cannot be met")
     members = checkpoint(memberships(docs, model, id_col, text_col))
     weights = None if targets is None else [float(targets.get(d, 0.0)) for d in model.domains]
     rate, _, _ = fit(members, len(model.domains), weights, least_rate, temper)

@@ -182,3 +182,10 @@ def test_mixing(spark):
     totals = {d: sum(r.n_tokens * r.posteriors[d] * r.rate for r in got) for d in ("de", "en")}
     assert len(got) == 201 and abs(totals["de"] / totals["en"] - 1) < 0.01 and min(r.rate for r in got) >= 0
     assert {r.doc_id for r in mixing.mixed(docs, table).collect()} == {r[0] for r in rows}
+
+
+def test_mixing_keeps_every_domain(spark):
+    table = spark.createDataFrame([(f"d{i}", f" w{i} w{i} ") for i in range(70)], "domain string, text string")
+    assert len(mixing.train(table).domains) == 70
+    with pytest.raises(ValueError, match="xx"):
+        mixing.mix(frame(spark, ["w1"]), table.where("domain < 'd11'"), {"d1": 1.0, "xx": 1.0})
