@@ -12,6 +12,7 @@ computed where the document is, of the same size at every step.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: A fit has stalled once so many steps in a row leave its least squares where they were.
+PATIENCE = 20
 #: Labelled rows that are read to learn, words counted for each domain, words of evidence after which belief is capped.
 TRAIN_ROWS, WORDS_EACH, EVIDENCE = 4_000, 6, 20.0
-STEPS, TOLERANCE = 40, 1e-5
+TOLERANCE = 1e-5
 NO_ID = 2**63 - 1
+LOG = logging.getLogger(__name__)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -84,7 +88,10 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text
 
 
 def fit(members: DataFrame, k: int, targets: list[float] | None, least_rate: float, temper: float) -> tuple[Column, list[float], list[float]]:
-    """(rate expression, targets in tokens, totals reached). members should be checkpointed: it is read once a step."""
+    """(rate expression, targets in tokens, totals reached), of the best step if the targets cannot be met.
+
+    members should be checkpointed: it is read once a step. Steps end at the tolerance or when the fit has stalled.
+    """
     sums = lambda rate: [float(x or 0) for x in members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{j}") * rate) for j in range(k))).first()]
     natural = sums(F.lit(1.0))
     if targets is None:
@@ -98,20 +105,23 @@ def fit(members: DataFrame, k: int, targets: list[float] | None, least_rate: flo
     at = stepped = [0.0] * k
     pace, rate = 1.0, rate_of(at)
     reached = natural if least_rate <= 1 else sums(rate)
-    for _ in range(STEPS):
+    best, stalled = (math.inf, rate, reached), 0
+    while True:
         residual = [(r - g) / x if x > 0 else 0.0 for r, g, x in zip(reached, goal, natural, strict=True)]
         if max((abs(r - g) / max(g, 1.0) for r, g, x in zip(reached, goal, natural, strict=True) if x > 0), default=0.0) < TOLERANCE:
-            break
+            return rate, goal, reached
+        error = sum(e * e * x for e, x in zip(residual, natural, strict=True))
+        stalled = 0 if error < best[0] * (1 - TOLERANCE) else stalled + 1
+        best = min(best, (error, rate, reached), key=lambda b: b[0])
+        if stalled >= PATIENCE:
+            return best[1], goal, best[2]  # the bound, or a goal without tokens, holds the rest back
         last, stepped = stepped, [a + e for a, e in zip(at, residual, strict=True)]
         if sum(e * (b - a) for e, a, b in zip(residual, last, stepped, strict=True)) < 0:
             pace = 1.0  # the momentum leads away: begin anew
         pace, before_pace = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
         at = [b + (before_pace - 1) / pace * (b - a) for a, b in zip(last, stepped, strict=True)]
         rate = rate_of(at)
-        before, reached = reached, sums(rate)
-        if max(abs(a - b) for a, b in zip(before, reached, strict=True)) < TOLERANCE * max(1.0, sum(natural)) * 0.01:
-            break  # the bound holds the rest back
-    return rate, goal, reached
+        reached = sums(rate)
 
 
 def mix(docs: DataFrame, table: DataFrame, targets: dict[str, float] | None = None, least_rate: float = 0.0, temper: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +143,10 @@ def rated(docs, table, targets, least_rate, temper, id_col="doc_id", text_col="t
         raise ValueError(f"no labelled rows of the domains {unknown}, so their targets cannot be met")
     members = checkpoint(memberships(docs, model, id_col, text_col))
     weights = None if targets is None else [float(targets.get(d, 0.0)) for d in model.domains]
-    rate, _, _ = fit(members, len(model.domains), weights, least_rate, temper)
+    rate, goal, reached = fit(members, len(model.domains), weights, least_rate, temper)
+    for d, g, r in zip(model.domains, goal, reached, strict=True):
+        met = abs(r - g) <= 10 * TOLERANCE * max(g, 1.0)
+        LOG.log(logging.INFO if met else logging.WARNING, "domain %s: target %.1f tokens, reached %.1f", d, g, r)
     toss = F.pmod(F.xxhash64("__d", "__t", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     members = members.withColumn("rate", rate)
     return members.withColumn("copies", F.floor("rate") + F.when(toss < F.col("rate") - F.floor("rate"), 1).otherwise(0)), model

@@ -184,6 +184,15 @@ def test_mixing(spark):
     assert {r.doc_id for r in mixing.mixed(docs, table).collect()} == {r[0] for r in rows}
 
 
+def test_mixing_fits_to_the_end(spark, caplog):
+    soft = spark.createDataFrame([(100, 0.52, 0.48), (100, 0.48, 0.52), (100, 0.5, 0.5)], "n_tokens long, p0 double, p1 double")
+    _, goal, reached = mixing.fit(soft, 2, [0.515, 0.485], 0.0, 0.5)
+    assert reached == pytest.approx(goal, rel=2e-5)
+    docs = spark.createDataFrame([(i, "der die das " if i % 2 else "the and of ", "de" if i % 2 else "en") for i in range(20)], "doc_id long, text string, lang string")
+    mixing.mix(docs, mixing.labelled(docs, docs.select("doc_id")), {"de": 1.0, "en": 0.0})
+    assert "WARNING" in [r.levelname for r in caplog.records if r.name == mixing.__name__ and "target" in r.message]
+
+
 def test_mixing_keeps_every_domain(spark):
     table = spark.createDataFrame([(f"d{i}", f" w{i} w{i} ") for i in range(70)], "domain string, text string")
     assert len(mixing.train(table).domains) == 70
