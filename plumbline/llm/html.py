@@ -29,8 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: What these hold is text for machines, not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never text of an article.
-NEVER = frozenset("head script style noscript template svg math iframe object canvas form button select option textarea input label fieldset title audio video noembed noframes dialog".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+NEVER = frozenset("head script style noscript template svg iframe object canvas form button select option textarea input label fieldset title audio video noembed noframes dialog".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math menclose meter mfrac mi mmultiscripts mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag ends an open element of the named kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tbody", "tr", "td"), "tbody": ("thead", "tr", "td", "th"), "option": ("option",)}
 KEEPS_OPEN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "thead": ("table",), "tbody": ("table",), "option": ("select",)}
@@ -67,7 +67,12 @@ class Node:
                     self.hints.update(HINT_OF[w] for w in WORD.findall((a or b or c).lower()) if w in HINT_OF)
                 elif name == "data-label":
                     self.label = (a or b or c) == "content"
-            if re.search(r"""(?i)\shidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", " " + attributes):
+                elif name == "aria-hidden":
+                    self.never |= (a or b or c).strip().lower() == "true"
+                elif name == "style":
+                    self.never |= bool(re.search(r"(?i)display\s*:\s*none", a or b or c))
+            # An attribute named hidden, with a value or without.
+            if re.search(r"(?i)(?:^|[\s/])hidden(?=[\s=/]|$)", ATTRIBUTE.sub(lambda m: f" {m[1]} ", attributes)):
                 self.never = True
         if parent:
             parent.children.append(self)

@@ -99,6 +99,13 @@ def test_html():
     assert html.main_text(page, weights, coupling) == "T & U\n\nOne two three.\n\nFour" and html.main_text("", weights, coupling) == ""
 
 
+def test_html_hidden_is_an_attribute():
+    never = lambda a: html.Node("div", None, a).never
+    assert not any(map(never, (' data-title="A hidden gem"', ' class="hidden md:block"', " title='aria-hidden=true'", ' data-x="display:none"')))
+    assert all(map(never, (" hidden", ' hidden=""', ' class="a" hidden', " HIDDEN id=x", ' aria-hidden="true"', ' style="display : none"', " aria-hidden=TRUE")))
+    assert [t for n, t in html.parse("<article><p>Let <math><mi>x</mi></math> be</p></article>")[1] if not n.never] == ["Let x be"]
+
+
 def test_media(spark):
     for size in (0, 1, 575, 576, 577, 5000):
         length, data = media.store(b"a" * size)
