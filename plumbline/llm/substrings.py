@@ -72,6 +72,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 def _anchors(data: np.ndarray, starts: np.ndarray):
     """(anchor, first window, last window, 48-bit hash of the SHARED bytes behind the anchor) over one chunk."""
     n = int(starts[-1])
+    if n > int(POSITION) + 1:
+        raise ValueError(f"a chunk of {n} bytes: positions are packed for {int(POSITION) + 1} at most, so a text may not be longer")
     grams = np.ndarray((n,), "<u8", data, 0, (1,))
     h = grams * C1
     h ^= h >> np.uint64(29)

@@ -47,6 +47,14 @@ def test_suffix_dedup(spark, options):
         assert got[i] == (sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_refuses_too_long_texts(monkeypatch):
+    data, starts = np.frombuffer(bytes(range(200)) * 2 + bytes(64), np.uint8), np.array([0, 400])
+    assert len(substrings._anchors(data, starts)[0])
+    monkeypatch.setattr(substrings, "POSITION", np.uint64(255))
+    with pytest.raises(ValueError, match="400 bytes"):
+        substrings._anchors(data, starts)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(5)
     texts = [None, "", "One  two", "one two"]
