@@ -1,15 +1,17 @@
 """Line deduplication with a log-template tree, in DataFrame operations only.
 
 A line is parsed down a tree of fixed depth: by its number of tokens, then by its leading tokens, with tokens that hold
-a digit replaced by a wildcard. What reaches one leaf is generalised: at each further position the leaf's template has
-the token that recurs most there (any of them in a tie), or a wildcard if none does; a line belongs to the template if at least a share
-SIMILAR of its tokens agree with it. A template that recurs across documents is kept where it first occurs (least
-document, then least line) and dropped everywhere else. Repeats of a line word for word
-need no generalisation: only one of each, in those leaves that several documents reach, is ever split into tokens.
-Lines of few tokens, scripts without blanks among them, count as repeats word for word only.
-
-Every count is a partial aggregate before its shuffle, the joins of hot keys may be split by AQE, and text crosses the
-network by document, never by leaf.
+a digit replaced by a wildcard. What reaches one leaf is generalised: of a line's further tokens those that recur most
+at their position among the distinct lines of the leaf are kept, so many that with the leading ones a share SIMILAR of
+the line stays (in a tie those further left); the others become wildcards. The kept tokens with their positions are the
+line's template, so a leaf has as many templates as its lines need, and the lines of one agree in at least that share
+of their tokens. A template that recurs across documents is kept where it first occurs (least document, then least
+line) and dropped everywhere else. Lines of few tokens, scripts without blanks among them, are templates as they stand:
+they count as repeats word for word only.
+
+Work is linear in the lines and their tokens: no lines are compared with each other. Every count is a partial aggregate
+before its shuffle, joins take their hot keys apart (``join_counted``), and text crosses the network by document, never
+by leaf.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_counted
 
 #: Tokens of the tree's path, least tokens of a line that is generalised, share of tokens that must agree.
 DEPTH, LEAST, SIMILAR = 5, 4, 0.7
@@ -32,90 +34,105 @@ def _masked(tokens: Column) -> Column:
     return F.regexp_replace(tokens, r"\S*[0-9]\S*", WILD)
 
 
+def _text(text: str | Column) -> Column:
+    return F.coalesce(text.cast("string") if isinstance(text, Column) else F.col(f"`{text}`").cast("string"), F.lit(""))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __d, __t (the document: id and hash of its text) and __text."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.withColumns({"__d": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(text), "__text": text})
+    """(d, t, row): a document is its id and the hash of its text; row holds all columns of docs, whatever their names."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(_text(text_col)).alias("t"), whole.alias("row"))
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
-    """(__d, __t, drops: sorted array of line numbers from 0) of documents that lose lines; docs is _keyed."""
-    lines = docs.select("__d", "__t", F.posexplode(F.split("__text", "\n", -1)).alias("i", "line"))
+    """(d, t, drops: sorted array of line numbers from 0) of documents that lose lines; docs has d, t and text."""
+    lines = docs.select("d", "t", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(BLANK), F.lit(""))) + 1
     lines = lines.withColumn("n", count).where((F.col("n") >= least) | F.col("line").rlike(r"\S"))
-    # Lines that are too short to be generalised share one leaf.
+    # Lines that are too short to be generalised share one leaf, which is looked at line by line.
     leaf = F.when(F.col("n") >= least, F.xxhash64("n", _masked(F.substring_index("line", BLANK, depth)))).otherwise(SHORT)
-    places = checkpoint(lines.select("__d", "__t", "i", leaf.alias("leaf"), F.xxhash64("line").alias("lh")))
-    doc, place = F.struct("__d", "__t"), F.struct("__d", "__t", "i")
-    same = places.groupBy("leaf", "lh").agg(F.min(place).alias("f"), F.max(doc).alias("last"))
-    many = (F.col("f.__d") != F.col("last.__d")) | (F.col("f.__t") != F.col("last.__t"))
-    same = checkpoint(same.select("leaf", "lh", F.col("f.__d").alias("d"), F.col("f.__t").alias("t"), F.col("f.i").alias("k"), many.alias("many")))
-    exact = places.join(same.where("many").select("leaf", "lh", "d", "t", "k"), ["leaf", "lh"]).where("__d <> d or __t <> t or i <> k").select("__d", "__t", "i")
-    # The leaves that several documents reach, one row per distinct line: where it first occurs.
-    single = same.drop("many").where(F.col("leaf") != SHORT)
-    shared = single.groupBy("leaf").agg(F.min(F.struct("d", "t")).alias("lo"), F.max(F.struct("d", "t")).alias("hi")).where("lo <> hi").select("leaf")
-    todo = single.join(shared, "leaf", "left_semi").groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_list(F.struct(F.col("k").alias("i"), "leaf", "lh")).alias("todo"))
-    todo = checkpoint(todo)
+    # Tokens that must be kept beyond the path; all lines of a leaf agree on the path.
+    more = F.greatest(F.ceil(F.col("n") * F.lit(similar) - 1e-9) - depth, F.lit(0)).cast("int")
+    places = checkpoint(lines.select("d", "t", "i", leaf.alias("leaf"), F.xxhash64("line").alias("lh"), more.alias("more")))
+    doc, place = F.struct("d", "t"), F.struct("d", "t", "i")
+    same = places.groupBy("leaf", "lh", "more").agg(F.min(place).alias("first"), F.max(doc).alias("last"), F.count(F.lit(1)).alias("c"))
+    same = checkpoint(same.select("leaf", "lh", "more", "first", "last", "c"))
+    total = int(same.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    # Only leaves that several documents reach can hold a template that recurs.
+    leaves = same.where(F.col("leaf") != SHORT).groupBy("leaf")
+    shared = leaves.agg(F.min(F.struct("first.d", "first.t")).alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 1").select("leaf", "c")
+    several = checkpoint(join_counted(same.where(F.col("leaf") != SHORT).withColumnRenamed("c", "places"), shared, ["leaf"], "c", total).drop("c"))
+    kept = _kept_tokens(docs, several.where("more > 0"), depth)
+    # (leaf, lh, template): the path alone where it is long enough, else the path and what is kept beyond it.
+    pathed = several.where("more = 0").select("leaf", "lh", F.lit(0).cast("long").alias("template"), "first", "last", "places")
+    templated = checkpoint(pathed.unionByName(several.join(kept, ["leaf", "lh"]).select("leaf", "lh", "template", "first", "last", "places")))
+    groups = templated.groupBy("leaf", "template").agg(F.min("first").alias("from"), F.max("last").alias("to"), F.count(F.lit(1)).alias("c")).where("from.d <> to.d or from.t <> to.t").select("leaf", "template", "from", "c")
+    found = join_counted(templated, groups, ["leaf", "template"], "c", total).select("leaf", "lh", "from", F.col("places").alias("c"))
+    # Lines without a template that recurs may still recur word for word.
+    exact = same.where("first.d <> last.d or first.t <> last.t").join(found.select("leaf", "lh"), ["leaf", "lh"], "left_anti").select("leaf", "lh", F.col("first").alias("from"), "c")
+    gone = checkpoint(found.unionByName(exact))
+    lost = join_counted(places.select("d", "t", "i", "leaf", "lh"), gone, ["leaf", "lh"], "c", total).where(place != F.col("from"))
+    return lost.groupBy("d", "t").agg(F.array_sort(F.collect_set("i")).alias("drops"))
+
+
+def _kept_tokens(docs: DataFrame, lines: DataFrame, depth: int) -> DataFrame:
+    """(leaf, lh, template) of those lines whose kept tokens all recur; template is a hash of positions and tokens."""
+    todo = checkpoint(lines.groupBy(F.col("first.d").alias("d"), F.col("first.t").alias("t")).agg(F.collect_list(F.struct(F.col("first.i").alias("i"), "leaf", "lh", "more")).alias("todo")))
     if todo.agg(F.coalesce(F.sum(F.size("todo")), F.lit(0))).first()[0] <= BROADCAST_LINES:
         todo = F.broadcast(todo)  # else both sides are shuffled by document
-    texts = docs.select("__d", "__t", "__text").join(todo, ["__d", "__t"]).select("__d", "__t", F.split("__text", "\n", -1).alias("__lines"), F.explode("todo").alias("x"))
-    hashed = F.transform(F.split(F.element_at("__lines", F.col("x.i") + 1), BLANK, -1), lambda x: F.xxhash64(_masked(x)))
-    # Rows that repeat id and text come together in the first aggregate below: they are one document.
-    arrays = checkpoint(texts.select("__d", "__t", "x.i", "x.leaf", "x.lh", hashed.alias("tokens")))
-    tokens = arrays.groupBy("leaf", "lh").agg(F.min("tokens").alias("tokens")).select("leaf", "lh", F.posexplode("tokens").alias("p", "tok"))
+    # Path tokens are equal in all lines of a leaf, so only what follows the path is counted.
+    texts = docs.select("d", "t", "text").join(todo, ["d", "t"]).select("todo", F.split("text", "\n", -1).alias("lines"))
+    rest = lambda x: F.transform(F.slice(F.split(F.element_at("lines", x["i"] + 1), BLANK, -1), depth + 1, 2**30), lambda y: F.xxhash64(_masked(y)))
+    found = texts.select(F.explode(F.transform("todo", lambda x: F.struct(x["leaf"].alias("leaf"), x["lh"].alias("lh"), x["more"].alias("more"), rest(x).alias("tokens")))).alias("x")).select("x.*")
+    # Rows that repeat id and text bring a line twice.
+    found = checkpoint(found.groupBy("leaf", "lh", "more").agg(F.min("tokens").alias("tokens")))
+    tokens = found.select("leaf", "lh", "more", F.posexplode("tokens").alias("p", "tok"))
     counted = tokens.groupBy("leaf", "p", "tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    most = counted.groupBy("leaf", "p").agg(F.max("c").alias("c"))
-    top = counted.join(most, ["leaf", "p", "c"]).select("leaf", "p", "tok")
-    agree = tokens.join(top, ["leaf", "p", "tok"], "left_semi").groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("agree"))
-    members = arrays.join(agree, ["leaf", "lh"]).where(F.col("agree") >= similar * F.size("tokens"))
-    members = checkpoint(members.select("__d", "__t", "i", "leaf").distinct())
-    firsts = members.groupBy("leaf").agg(F.min(place).alias("first"), F.max(doc).alias("last")).where("first.__d <> last.__d or first.__t <> last.__t").select("leaf", "first")
-    alike = members.join(firsts, "leaf").where(place != F.col("first")).select("__d", "__t", "i")
-    return exact.unionByName(alike).groupBy("__d", "__t").agg(F.array_sort(F.collect_set("i")).alias("drops"))
+    total = int(found.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0])
+    best = join_counted(tokens, counted, ["leaf", "p", "tok"], "c", total).groupBy("leaf", "lh", "more").agg(F.collect_list(F.struct((-F.col("c")).alias("c"), "p", "tok")).alias("found"))
+    kept = F.array_sort(F.transform(F.slice(F.array_sort("found"), 1, F.col("more")), lambda x: F.struct(x["p"].alias("p"), x["tok"].alias("tok"))))
+    return best.where("size(found) >= more").select("leaf", "lh", F.xxhash64(kept).alias("template"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """docs with the text of its kept lines, and n_lines and n_dropped; every row stays, though its text may be empty.
 
     Lines of fewer than ``least`` tokens go only where they repeat another document's word for word; blank ones of so
-    few tokens always stay. Null text counts as empty (one empty line). A null id counts as
-    the largest; rows that repeat id and text are one document. Further columns pass through; columns named n_lines or
-    n_dropped are replaced. An empty table gives an empty result.
+    few tokens always stay. Null text counts as empty (one empty line). A null id counts as the largest; rows that
+    repeat id and text are one document. Ties between tokens go to those further left, between places to the least
+    document and line. Further columns pass through, whatever their names; columns named n_lines or n_dropped are
+    replaced. An empty table gives an empty result.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = keyed.join(dropped_lines(keyed, depth, least, similar), ["__d", "__t"], "left")
-    lines = F.split("__text", "\n", -1)
-    kept = F.when(F.col("drops").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drops", i)), "\n"))
-    found = found.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long"), text_col: kept})
-    return found.select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
+    drops = dropped_lines(docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(_text(text_col)).alias("t"), _text(text_col).alias("text")), depth, least, similar)
+    # The numbers with what stands before the first line and after any last one: between two of them all lines stay.
+    drops = drops.select("d", "t", F.size("drops").cast("long").alias("n"), F.concat(F.array(F.lit(-1)), "drops", F.array(F.lit(2**30))).alias("cuts"))
+    found = keyed.join(drops, ["d", "t"], "left").select("row", "n", "cuts", F.split(_text(F.col("row")[text_col]), "\n", -1).alias("lines"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.slice("lines", F.get("cuts", k - 1) + 2, F.get("cuts", k) - F.get("cuts", k - 1) - 1))
+    kept = F.when(F.col("cuts").isNull(), _text(F.col("row")[text_col])).otherwise(F.array_join(F.flatten(runs), "\n"))
+    made = {text_col: kept, "n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce("n", F.lit(0).cast("long"))}
+    return found.select(*(made.get(c, F.col("row")[c]).alias(c) for c in [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]))
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Lines as lists of tokens, ranked and compared as such: no hashes, no shared leaves, no pass per kind of line.
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l0 AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM d),
-l1 AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS n,
-              regexp_replace(array_to_string(string_split(line, ' ')[1:5], ' '), '\S*[0-9]\S*', '<*>', 'g') AS lead FROM l0),
-l AS (SELECT * FROM l1 WHERE n >= 4),
-same AS (SELECT n, lead, line, min((doc_id, i)) AS f, min(doc_id) AS lo, max(doc_id) AS hi FROM l GROUP BY n, lead, line),
-exact AS (SELECT l.doc_id, l.i FROM l JOIN same USING (n, lead, line) WHERE lo <> hi AND (l.doc_id, l.i) <> f),
-single AS (SELECT n, lead, line, f[1] AS doc_id, f[2] AS i FROM same),
-shared AS (SELECT n, lead FROM single GROUP BY n, lead HAVING min(doc_id) <> max(doc_id)),
-todo AS (SELECT * FROM single SEMI JOIN shared USING (n, lead)),
-tokens AS (SELECT n, lead, doc_id, i, p, regexp_replace(raw, '\S*[0-9]\S*', '<*>', 'g') AS tok
-           FROM (SELECT n, lead, doc_id, i, unnest(range(n)) AS p, unnest(string_split(line, ' ')) AS raw FROM todo)),
-counted AS (SELECT n, lead, p, tok, count(*) AS c FROM tokens GROUP BY n, lead, p, tok HAVING count(*) > 1),
-agree AS (SELECT t.n, t.lead, t.doc_id, t.i, count(c.c) AS same
-          FROM tokens t LEFT JOIN (SELECT *, max(c) OVER (PARTITION BY n, lead, p) AS most FROM counted) c
-          ON t.n = c.n AND t.lead = c.lead AND t.p = c.p AND t.tok = c.tok AND c.c = c.most
-          GROUP BY t.n, t.lead, t.doc_id, t.i),
-members AS (SELECT * FROM agree WHERE same >= 0.7 * n),
-firsts AS (SELECT n, lead, min((doc_id, i)) AS f FROM members GROUP BY n, lead HAVING min(doc_id) <> max(doc_id)),
-alike AS (SELECT m.doc_id, m.i FROM members m JOIN firsts USING (n, lead) WHERE (m.doc_id, m.i) <> f),
-gone AS (SELECT doc_id, i FROM exact UNION SELECT doc_id, i FROM alike)
+l AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS n FROM l0 WHERE length(line) - length(replace(line, ' ', '')) >= 3 OR regexp_matches(line, '\S')),
+distinct_lines AS (SELECT DISTINCT line, n FROM l WHERE n >= 4),
+tokens AS (SELECT line, n, unnest(range(n)) AS p, unnest(list_transform(string_split(line, ' '), lambda x: regexp_replace(x, '\S*[0-9]\S*', '<*>', 'g'))) AS tok FROM distinct_lines),
+paths AS (SELECT line, n, array_to_string(list(tok ORDER BY p) FILTER (p < 5), ' ') AS path FROM tokens GROUP BY line, n),
+counted AS (SELECT *, count(*) OVER (PARTITION BY n, path, p, tok) AS c FROM tokens JOIN paths USING (line, n)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY (p < 5) DESC, c DESC, p) AS r FROM counted),
+templates AS (SELECT line, n, path, list((p, tok) ORDER BY p) AS template FROM ranked WHERE r <= greatest(ceil(0.7 * n - 1e-9), 5) GROUP BY line, n, path),
+placed AS (SELECT doc_id, i, CASE WHEN n >= 4 THEN CAST(n AS VARCHAR) || '|' || path || '|' || CAST(template AS VARCHAR) ELSE '=' || line END AS key
+           FROM l LEFT JOIN templates USING (line, n)),
+firsts AS (SELECT key, min((doc_id, i)) AS f FROM placed GROUP BY key HAVING min(doc_id) <> max(doc_id)),
+gone AS (SELECT doc_id, i FROM placed JOIN firsts USING (key) WHERE (doc_id, i) <> f)
 SELECT d.doc_id, CAST(len(a) AS BIGINT) AS n_lines, CAST(coalesce(len(g.x), 0) AS BIGINT) AS n_dropped,
        sha256(array_to_string(CASE WHEN g.x IS NULL THEN a ELSE list_filter(a, lambda v, k: NOT list_contains(g.x, k - 1)) END, chr(10))) AS kept_sha256
 FROM d LEFT JOIN (SELECT doc_id, list(i) AS x FROM gone GROUP BY doc_id) g USING (doc_id)
