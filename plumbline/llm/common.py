@@ -72,8 +72,8 @@ def sole(owner: str, release=None) -> None:
 HOT = 1_000
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], c: str, total: int) -> DataFrame:
-    """Inner join of rows with the one row that counted has for a key, where c says how many of the rows have it.
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], c: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with the one row that counted has for a key, where c says how many rows have it.
 
     total is at least the number of rows (or of distinct ones, if c counts these). Rows of hot keys never meet in one
     task: their side of the join, of at most HOT rows by the pigeonhole principle, is broadcast.
@@ -81,5 +81,5 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], c: str, t
     hot = counted.where(F.col(c) * HOT > total)
     cold = counted.where(F.col(c) * HOT <= total)
     near = rows.join(F.broadcast(hot), keys)
-    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)
