@@ -4,29 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import checkpoint, release  # noqa: F401  for the operators
+
 #: ASCII white space of the exact-duplicate contract: space and 0x09-0x0D.
 WHITE = b" \t\n\x0b\x0c\r"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of ``spark.checkpoint.dir``.
-
-    Reliable checkpoints outlive executors. Only a session without that setting (tests) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

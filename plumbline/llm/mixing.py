@@ -4,27 +4,30 @@ A classifier learned from a labelled table gives every document posteriors over
 documents count for several. Each document has a nonnegative rate, its expected number of copies, and rates are fitted
 so that the expected tokens of every domain meet its target: projected gradient on the least squares of the domain
 totals, each weighed by the inverse of the domain's size. Its gradient for one document is a product of the
-document's posteriors with one residual per domain. Projection is lazy (dual averaging, with momentum): the steps add
-up unprojected, and a rate is what they add up to, projected onto the rates allowed. So all steps so far are one number
-per domain, the driver sees nothing but these, and a document's rate is one short expression over its posteriors,
-computed where the document is, of the same size at every step.
+document's posteriors with one residual per domain, so the driver sees nothing but one total per domain, and each step
+goes against the gradient and is projected onto the rates allowed, where the document is. Steps have momentum, which
+is dropped when it leads away. The rates are columns; every few steps they are checkpointed, which keeps plans short
+and what a lost executor costs small.
 """
 
 from __future__ import annotations
 
 import logging
 import math
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, release
 
 #: A fit has stalled once so many steps in a row leave its least squares where they were.
 PATIENCE = 20
-#: Labelled rows that are read to learn, words counted for each domain, words of evidence after which belief is capped.
-TRAIN_ROWS, WORDS_EACH, EVIDENCE = 4_000, 6, 20.0
+#: Labelled rows that are read to learn, words that tell of each domain, words of evidence after which belief is capped.
+TRAIN_ROWS, WORDS_EACH, EVIDENCE = 4_000, 25, 20.0
 TOLERANCE = 1e-5
+#: Steps between two checkpoints of the rates.
+HELD = 4
 NO_ID = 2**63 - 1
 LOG = logging.getLogger(__name__)
 
@@ -39,61 +42,85 @@ def labelled(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", rows:
     return own.where("domain is not null").join(F.broadcast(chosen), "doc_id").select("domain", "text")
 
 
-def _hits(word: str, text: str = "__text") -> Column:
-    """Occurrences of a word between blanks."""
-    return (F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit(f" {word} "), F.lit("")))) / float(len(word.encode()) + 2)
+def _pattern(words: list[str]) -> str:
+    """A pattern of those words between white space or ends of the text; words of one beginning share its letters."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def of(node: dict) -> str:
+        ends, below = "" in node, [re.escape(ch) + of(node[ch]) for ch in sorted(node) if ch]
+        if not below:
+            return ""
+        return f"(?:{'|'.join(below)})?" if ends else below[0] if len(below) == 1 else f"(?:{'|'.join(below)})"
+
+    return rf"(?<!\S){of(tree)}(?!\S)"
+
+
+def _hits(words: list[str], text: str | Column) -> Column:
+    """Array of the occurrences of the words in a text, as they come; one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(_pattern(words)), F.lit(0)) if words else F.array().cast("array<string>")
 
 
 class Classifier:
-    """Naive Bayes over a few telling words, with evidence capped so that membership stays soft."""
+    """Naive Bayes over telling words, with evidence capped so that membership stays soft."""
 
     def __init__(self, domains: list[str], words: list[str], prior: list[float], likelihood: list[list[float]]):
         self.domains, self.words, self.prior, self.likelihood = domains, words, prior, likelihood
 
-    def posteriors(self, counts: list[Column]) -> list[Column]:
-        """One expression per domain, from the counts of the words."""
-        total = sum(counts, F.lit(0.0))
-        scale = F.when(total > EVIDENCE, F.lit(EVIDENCE) / total).otherwise(1.0)
-        logits = [F.lit(math.log(p)) + scale * sum((c * F.lit(math.log(q)) for c, q in zip(counts, row, strict=True)), F.lit(0.0)) for p, row in zip(self.prior, self.likelihood, strict=True)]
-        top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-        parts = [F.exp(z - top) for z in logits]
-        return [p / sum(parts, F.lit(0.0)) for p in parts]
+    def posteriors(self, hits: Column) -> Column:
+        """Array of one number per domain, from the hits."""
+        if not self.words:
+            return F.array(*map(F.lit, self.prior))
+        logs = F.create_map(*(x for i, w in enumerate(self.words) for x in (F.lit(w), F.array(*(F.lit(math.log(row[i])) for row in self.likelihood)))))
+        zero = F.array(*(F.lit(0.0) for _ in self.domains))
+        sums = F.aggregate(hits, zero, lambda acc, w: F.zip_with(acc, F.element_at(logs, w), lambda a, b: a + b))
+        scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.size(hits), F.lit(1)))
+        prior = F.array(*(F.lit(math.log(p)) for p in self.prior))
+        logits = F.zip_with(prior, sums, lambda p, x: p + scale * x)
+        return F.transform(logits, lambda z: 1 / F.aggregate(logits, F.lit(0.0), lambda acc, o: acc + F.exp(o - z)))
 
 
 def train(table: DataFrame) -> Classifier:
     """From (domain, text); every domain counts. An empty table gives one domain that holds all."""
-    table = checkpoint(table.withColumn("__text", F.lower("text")))
+    table = checkpoint(table.select("domain", F.lower("text").alias("lower")))
     sizes = table.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return Classifier([""], [], [1.0], [[]])
     domains = sorted(r.domain for r in sizes)
-    counts = table.select("domain", F.explode(F.split("__text", r"\s+")).alias("word")).where("length(word) between 1 and 20").groupBy("domain", "word").agg(F.count(F.lit(1)).alias("c"))
+    counts = table.select("domain", F.explode(F.regexp_extract_all("lower", F.lit(r"\S+"), F.lit(0))).alias("word")).groupBy("domain", "word").agg(F.count(F.lit(1)).alias("c"))
     share = counts.join(F.broadcast(counts.groupBy("domain").agg(F.sum("c").alias("all"))), "domain").withColumn("share", F.col("c") / F.col("all"))
     both = share.groupBy("word").agg(F.max(F.struct("share", "domain")).alias("most"), F.sum("share").alias("sum"))
     gain = (2 * F.col("most.share") - F.col("sum")).alias("gain")
-    best = both.select("word", F.col("most.domain").alias("domain"), gain).groupBy("domain").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("gain", "word")))), 1, WORDS_EACH).alias("top"))
-    words = sorted({x.word for r in best.where(F.col("domain").isin(domains)).collect() for x in r.top if x.gain > 0})
-    sums = {r.domain: r for r in table.groupBy("domain").agg(*(F.sum(_hits(w)).alias(f"w{i}") for i, w in enumerate(words)), F.lit(0).alias("z")).collect()}
+    best = both.select("word", F.col("most.domain").alias("domain"), gain).where("gain > 0").withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("gain"), F.desc("word")))).where(F.col("place") <= WORDS_EACH)
+    words = sorted({r.word for r in best.collect()})
+    sums = {(r.domain, r.word): r.c for r in counts.where(F.col("word").isin(words)).collect()}
     n = {r.domain: r.n for r in sizes}
-    rows = [[sums[d][f"w{i}"] + 1.0 for i in range(len(words))] for d in domains]
+    rows = [[sums.get((d, w), 0) + 1.0 for w in words] for d in domains]
     return Classifier(domains, words, [n[d] / sum(n.values()) for d in domains], [[x / sum(row) for x in row] for row in rows])
 
 
 def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, __d, __t, n_tokens, p0, p1, ...): one row per input row; tokens are runs of non-blanks."""
+    """(doc_id, d, t, n_tokens, p0, p1, ...): one row per input row; tokens are runs of non-blanks."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("__t"), F.lower(text).alias("__text"))
-    own = own.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("__d"), "__t", F.regexp_count("__text", F.lit(r"\S+")).cast("long").alias("n_tokens"), *(_hits(w).alias(f"c{i}") for i, w in enumerate(model.words)))
-    return own.select("doc_id", "__d", "__t", "n_tokens", *(p.alias(f"p{k}") for k, p in enumerate(model.posteriors([F.col(f"c{i}") for i in range(len(model.words))]))))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n_tokens"), _hits(model.words, F.lower(text)).alias("hits"))
+    own = own.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "t", "n_tokens", model.posteriors(F.col("hits")).alias("p"))
+    return own.select("doc_id", "d", "t", "n_tokens", *(F.col("p")[k].alias(f"p{k}") for k in range(len(model.domains))))
 
 
-def fit(members: DataFrame, k: int, targets: list[float] | None, least_rate: float, temper: float) -> tuple[Column, list[float], list[float]]:
-    """(rate expression, targets in tokens, totals reached), of the best step if the targets cannot be met.
+def fit(members: DataFrame, k: int, targets: list[float] | None, least_rate: float, temper: float) -> tuple[DataFrame, list[float], list[float]]:
+    """(members with their rate, targets in tokens, totals reached), of the best step if the targets cannot be met.
 
-    members should be checkpointed: it is read once a step. Steps end at the tolerance or when the fit has stalled.
+    members should be checkpointed. Steps end at the tolerance or when the fit has stalled.
     """
-    sums = lambda rate: [float(x or 0) for x in members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{j}") * rate) for j in range(k))).first()]
-    natural = sums(F.lit(1.0))
+    names = members.columns
+    sums = lambda df, rate: [float(x or 0) for x in df.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{j}") * F.col(rate)) for j in range(k))).first()]
+    state = members.select(*names, F.lit(float(max(1.0, least_rate))).alias("rate"), F.lit(float(max(1.0, least_rate))).alias("ahead"))
+    start = sums(state, "rate")
+    natural = [x / max(1.0, least_rate) for x in start]
     if targets is None:
         targets = [x**temper for x in natural]
     whole = sum(targets)
@@ -101,27 +128,31 @@ def fit(members: DataFrame, k: int, targets: list[float] | None, least_rate: flo
     if least_rate > 0:  # no document may be lost: enough tokens that every domain's mean rate is at least that
         up = max((least_rate * x / g for x, g in zip(natural, goal, strict=True) if g > 0), default=1.0)
         goal = [g * up for g in goal]
-    rate_of = lambda pulls: F.greatest(F.lit(float(least_rate)), F.lit(1.0) - sum((F.col(f"p{j}") * F.lit(e) for j, e in enumerate(pulls)), F.lit(0.0)))
-    at = stepped = [0.0] * k
-    pace, rate = 1.0, rate_of(at)
-    reached = natural if least_rate <= 1 else sums(rate)
-    best, stalled = (math.inf, rate, reached), 0
-    while True:
-        residual = [(r - g) / x if x > 0 else 0.0 for r, g, x in zip(reached, goal, natural, strict=True)]
-        if max((abs(r - g) / max(g, 1.0) for r, g, x in zip(reached, goal, natural, strict=True) if x > 0), default=0.0) < TOLERANCE:
-            return rate, goal, reached
-        error = sum(e * e * x for e, x in zip(residual, natural, strict=True))
-        stalled = 0 if error < best[0] * (1 - TOLERANCE) else stalled + 1
-        best = min(best, (error, rate, reached), key=lambda b: b[0])
-        if stalled >= PATIENCE:
-            return best[1], goal, best[2]  # the bound, or a goal without tokens, holds the rest back
-        last, stepped = stepped, [a + e for a, e in zip(at, residual, strict=True)]
-        if sum(e * (b - a) for e, a, b in zip(residual, last, stepped, strict=True)) < 0:
-            pace = 1.0  # the momentum leads away: begin anew
-        pace, before_pace = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
-        at = [b + (before_pace - 1) / pace * (b - a) for a, b in zip(last, stepped, strict=True)]
-        rate = rate_of(at)
-        reached = sums(rate)
+    residual = lambda reached: [(r - g) / x if x > 0 else 0.0 for r, g, x in zip(reached, goal, natural, strict=True)]
+    error_of = lambda reached: sum(e * e * x for e, x in zip(residual(reached), natural, strict=True))
+    far = lambda reached: max((abs(r - g) / max(g, 1.0) for r, g, x in zip(reached, goal, natural, strict=True) if x > 0), default=0.0)
+    reached = ahead = start
+    best, stalled, pace, step, held = (error_of(start), state, start), 0, 1.0, 0, []
+    while far(reached) >= TOLERANCE and stalled < PATIENCE:
+        pull = sum((F.col(f"p{j}") * F.lit(e) for j, e in enumerate(residual(ahead))), F.lit(0.0))
+        before = state.select(*names, F.col("rate").alias("before"), F.greatest(F.lit(float(least_rate)), F.col("ahead") - pull).alias("rate"))
+        last, reached = reached, sums(before, "rate")
+        # Totals are linear in the rates, so those of the point ahead need no pass of their own.
+        if error_of(reached) > error_of(last):
+            pace = 1.0  # the momentum led away: begin anew
+        pace, old = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
+        push = (old - 1) / pace
+        ahead = [r + push * (r - o) for r, o in zip(reached, last, strict=True)]
+        state = before.select(*names, "rate", (F.col("rate") + F.lit(push) * (F.col("rate") - F.col("before"))).alias("ahead"))
+        step += 1
+        if step % HELD == 0:
+            state = checkpoint(state)
+            held.append(state)
+        stalled = 0 if error_of(reached) < best[0] * (1 - TOLERANCE) else stalled + 1
+        best = min(best, (error_of(reached), state, reached), key=lambda b: b[0])
+    done = checkpoint(best[1].select(*names, "rate"))
+    release(*held)
+    return done, goal, best[2]
 
 
 def mix(docs: DataFrame, table: DataFrame, targets: dict[str, float] | None = None, least_rate: float = 0.0, temper: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,20 +174,24 @@ def rated(docs, table, targets, least_rate, temper, id_col="doc_id", text_col="t
         raise ValueError(f"no labelled rows of the domains {unknown}, so their targets cannot be met")
     members = checkpoint(memberships(docs, model, id_col, text_col))
     weights = None if targets is None else [float(targets.get(d, 0.0)) for d in model.domains]
-    rate, goal, reached = fit(members, len(model.domains), weights, least_rate, temper)
+    members, goal, reached = fit(members, len(model.domains), weights, least_rate, temper)
     for d, g, r in zip(model.domains, goal, reached, strict=True):
         met = abs(r - g) <= 10 * TOLERANCE * max(g, 1.0)
         LOG.log(logging.INFO if met else logging.WARNING, "domain %s: target %.1f tokens, reached %.1f", d, g, r)
-    toss = F.pmod(F.xxhash64("__d", "__t", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    members = members.withColumn("rate", rate)
+    toss = F.pmod(F.xxhash64("d", "t", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return members.withColumn("copies", F.floor("rate") + F.when(toss < F.col("rate") - F.floor("rate"), 1).otherwise(0)), model
 
 
 def mixed(docs: DataFrame, table: DataFrame, targets: dict[str, float] | None = None, least_rate: float = 1.0, temper: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, each as often as its copies say; with least_rate=1 no row is lost, only repeated."""
+    """The rows of docs, each as often as its copies say; with least_rate=1 no row is lost, only repeated.
+
+    Columns pass through, whatever their names. Null and empty texts, which have no tokens to mix, keep the rate that
+    their prior gives them; rows that repeat id and text are copied alike; a null id is an id of its own. An empty
+    table gives an empty result.
+    """
     members, _ = rated(docs, table, targets, least_rate, temper, id_col, text_col)
-    copies = members.groupBy("__d", "__t").agg(F.max("copies").alias("__copies"))
+    copies = members.groupBy("d", "t").agg(F.max("copies").alias("copies"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__d": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(text)})
-    many = keyed.join(copies, ["__d", "__t"]).where("__copies > 0")
-    return many.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    many = keyed.join(copies, ["d", "t"]).where("copies > 0")
+    return many.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
