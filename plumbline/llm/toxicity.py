@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import give_back, id_text, sole, texts
 
-#: Bounds: labelled rows that are read to learn, terms of the lexicon, words known to be harmless.
-TRAIN_ROWS, MOST_TERMS, MOST_KNOWN = 16_000, 3_000, 50_000
+#: Labelled rows that are read to learn; the lexicon and the words known to be harmless are all that these rows tell.
+TRAIN_ROWS = 16_000
 #: Tokens to either side that make a hit's context; a burst of abuse is measured over as many.
 WINDOW = 8
 STEMS = (4, 5, 6)
 LEET = str.maketrans("013457@$!|", "oieastasil")
 STRIP = re.compile(r"[\W_]+")
-QUOTES = "\"'“”„«»‘’‚‹›`"
+QUOTES = frozenset("\"'“”„«»‘’‚‹›`")
 #: Words of report beside a quoted term, in the four languages of the corpus.
 REPORT = frozenset("said says wrote called quote quoted quotes word term means meaning example sagte schrieb zitat wort begriff nannte dit écrit mot terme appelé citation dijo escribió palabra término llamó cita".split())
 #: Tokens remembered by a worker; then its memory starts anew.
@@ -263,9 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counts = read.where("turn < 3").select("toxic", "text").mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (tox + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     least = max(3, round(0.004 * tox))
-    marks = counts.where((F.col("toxic") >= least) & (odds >= 3) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).select("term").toPandas()
-    marks = marks.term
-    known = counts.where((F.col("clean") >= 3) & ~F.col("term").endswith("*")).orderBy(F.desc("clean"), "term").limit(MOST_KNOWN).select("term").toPandas().term
+    marks = counts.where((F.col("toxic") >= least) & (odds >= 3) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").select("term").toPandas().term
+    known = counts.where((F.col("clean") >= 3) & ~F.col("term").endswith("*")).select("term").toPandas().term
     stems = sorted(t[:-1] for t in marks if t.endswith("*"))
     model = Model([t for t in marks if t[-1] != "*"], [s for i, s in enumerate(stems) if not any(s != o and s.startswith(o) for o in stems[max(0, i - 3) : i])], known=list(known))
     # A beginning is only of use where it says more than the words themselves: it must hold several of them.
