@@ -1,6 +1,6 @@
 """Near-duplicates by DartMinHash signatures, banded joining and exact verification.
 
-Each shingle of five words owns a region of unit height per unit of weight. Darts hit a region as a Poisson process
+Each shingle of five words owns a region of unit height per unit of its weight, which is how often it occurs. Darts hit a region as a Poisson process
 along the rank axis, drawn from hashes of the shingle alone, so equal shingles of any two documents catch equal darts.
 A document looks at no rank beyond what fills its coordinates (its total weight sets the bound), which most shingles
 never reach: the cost is one hash a shingle and k log k darts a document. The earliest dart of each of k coordinates is
@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_text, sole, texts
+from .common import checkpoint, id_text, join_counted, release, sole, texts
 
 WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4: a pair of similarity 0.8 shares none with probability 3e-5.
 BANDS, ROWS = 20, 4
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 CHUNK_WORDS, MEMO_SIZE = 100_000, 1 << 17
+#: Up to so many texts that share a band (40 bytes each) are named to the scan of the texts by broadcast.
+BROADCAST_NODES = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,24 +126,25 @@ def _signed(weights: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole("minhash", forget_words)
 
-        def done(ids, nodes, regions):
+        def done(ids, hashes, nodes, regions):
             found = bands(signatures(regions))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(BANDS if len(r) else 0 for r in regions)]), pa.int32()), pa.array(found[[len(r) > 0 for r in regions]].ravel(), pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), lists], ["doc_id", "node", "bands"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(nodes, pa.binary()), lists], ["doc_id", "th", "node", "bands"])
 
         for batch in batches:
-            ids, nodes, regions, size = [], [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            ids, hashes, nodes, regions, size = [], [], [], [], 0
+            for doc_id, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts(batch), strict=True):
                 words = words_of(text)
                 ids.append(doc_id)
+                hashes.append(th)
                 nodes.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
                 regions.append(layers(shingles(words), weights))
                 size += len(words)
                 if size >= CHUNK_WORDS:
-                    yield done(ids, nodes, regions)
-                    ids, nodes, regions, size = [], [], [], 0
+                    yield done(ids, hashes, nodes, regions)
+                    ids, hashes, nodes, regions, size = [], [], [], [], 0
             if ids:
-                yield done(ids, nodes, regions)
+                yield done(ids, hashes, nodes, regions)
 
     return run
 
@@ -161,20 +164,25 @@ def _sets(weights: str):
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the connected components of (a, b) edges: label is the component's least node.
 
-    Labels fall to the least label among neighbours and then jump to the label of their label, until none changes;
-    every step is checkpointed, so a lost executor repeats one step.
+    Labels fall to the least label among neighbours and then jump to the label of their label, until none changes. Each
+    step is checkpointed, so a lost executor repeats one step, and the files of the step before are deleted. Nodes of
+    many neighbours and labels of many nodes are joined apart.
     """
     edges = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     edges = checkpoint(edges)
-    labels = checkpoint(edges.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label")))
+    total = edges.count()
+    labels = checkpoint(edges.groupBy("node").agg(F.min("other").alias("label"), F.count(F.lit(1)).alias("degree")).select("node", F.least("node", "label").alias("label"), "degree"))
     while True:
-        heard = edges.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        lower = labels.join(heard, "node").select("node", F.least("label", "theirs").alias("next"), F.col("label").alias("before"))
-        top = labels.select(F.col("node").alias("next"), F.col("label").alias("top"))
-        labels = checkpoint(lower.join(top, "next").select("node", F.least("next", "top").alias("label"), (F.least("next", "top") != F.col("before")).alias("moved")))
+        theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"), "degree")
+        heard = join_counted(edges, theirs, ["other"], "degree", total).groupBy("node").agg(F.min("theirs").alias("theirs"))
+        lower = checkpoint(labels.join(heard, "node").select("node", F.least("label", "theirs").alias("next"), F.col("label").alias("before"), "degree"))
+        top = labels.select(F.col("node").alias("next"), F.col("label").alias("top")).join(lower.groupBy("next").agg(F.count(F.lit(1)).alias("c")), "next")
+        raised = join_counted(lower, top, ["next"], "c", total).select("node", F.least("next", "top").alias("label"), "degree", (F.least("next", "top") != F.col("before")).alias("moved"))
+        before, labels = labels, checkpoint(raised)
+        release(before, lower)
         if labels.where("moved").isEmpty():
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        labels = labels.select("node", "label", "degree")
 
 
 def _with_items(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,17 +227,21 @@ def _across(checked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return y.join(x, (y.b == x.b) & (y.e == x.e) & (F.col("x") != F.col("y")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
-    """(doc_id, class_id, class_size, kept), one row per input row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weights: str = "count") -> DataFrame:
+    """(doc_id, class_id, class_size, kept, text_hash), one row per input row.
 
-    A class is a connected component of texts with at least that Jaccard similarity of their lower-case five-word
-    shingles; class_id is its least doc_id. Texts of fewer than five words are near only to equal ones; empty and null
-    texts are equal to each other. Rows that repeat an id are one document. A null id loses ties and class_id is null
-    only where all ids of the class are. An empty table gives an empty result.
+    A class is a connected component of texts with at least that weighted Jaccard similarity of their lower-case
+    five-word shingles, each weighing as often as it occurs ("count") or the same ("set"). class_id is its least doc_id;
+    kept is true for one text of it: that of the least id, a null one last, and then of the least text_hash (xxhash64 of
+    the text), so that rows which repeat both are all kept. Texts of fewer than five words are near only to equal ones;
+    empty and null texts are equal to each other. class_id is null only where all ids of the class are. Other columns
+    are not read. An empty table gives an empty result.
     """
-    docs = id_text(docs, id_col, text_col)
-    signed = checkpoint(docs.mapInArrow(_signed(weights), "doc_id long, node binary, bands array<long>"))
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    docs = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    signed = checkpoint(docs.mapInArrow(_signed(weights), "doc_id long, th long, node binary, bands array<long>"))
+    # Ids in order, null last: the first row of a node stands for it.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    nodes = checkpoint(signed.groupBy("node").agg(F.min(place).alias("first"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("c")))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpoint(rows.join(shared, "bucket").select("bucket", "node", "n"))
@@ -237,18 +249,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = members.join(weights_, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
     stars = members.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = members.select("node").distinct()
-    one = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("one_id"))
-    read = docs.join(one.hint("shuffle_hash"), F.coalesce(docs.doc_id, F.lit(-1)) == F.col("one_id")).select("node", "text")
-    # An id may name several texts: each is hashed again, and only the one that belongs to the node counts.
+    one = checkpoint(nodes.join(wanted, "node", "left_semi").select("node", F.coalesce("first.doc_id", F.lit(-1)).alias("one_id"), F.col("first.th").alias("one_th")))
+    one = F.broadcast(one) if one.count() <= BROADCAST_NODES else one.hint("shuffle_hash")
+    read = docs.join(one, (F.coalesce(docs.doc_id, F.lit(-1)) == F.col("one_id")) & (docs.th == F.col("one_th"))).select("node", "text")
+    # A hash may name several texts: each is hashed again in full, and only the one that belongs to the node counts.
     sets = read.mapInArrow(_own_text, "node binary, text string").mapInArrow(_sets(weights), "node binary, items array<long>")
     sets = checkpoint(sets.groupBy("node").agg(F.first("items").alias("items")))
     checked = checkpoint(_similar(stars, sets, similarity))
     links = checked.where("linked").select("a", "b")
     more = checkpoint(_similar(_across(checked, sets, similarity), sets, similarity).where("linked").select("a", "b"))
     labels = components(links.union(more))
-    classed = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class"))
-    sizes = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(sizes, "class").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # Classes are made up of nodes, so that a text of many copies is one row until the last join.
+    classed = checkpoint(nodes.join(labels, "node", "left").select("node", "first", "c", F.coalesce("label", "node").alias("class")))
+    sizes = classed.groupBy("class").agg(F.min("first").alias("kept"), F.sum("c").alias("class_size"), F.count(F.lit(1)).alias("n"))
+    total = signed.count()
+    known = join_counted(classed.select("node", "class", "c"), sizes, ["class"], "n", total).select("node", "kept", "class_size", "c")
+    own = join_counted(signed.select("doc_id", "th", "node"), known, ["node"], "c", total)
+    return own.select("doc_id", F.col("kept.doc_id").alias("class_id"), "class_size", (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("th") == F.col("kept.th"))).alias("kept"), F.col("th").alias("text_hash"))
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
