@@ -5,9 +5,10 @@ documents count for several. Each document has a nonnegative rate, its expected
 so that the expected tokens of every domain meet its target: projected gradient on the least squares of the domain
 totals, each weighed by the inverse of the domain's size. Its gradient for one document is a product of the
 document's posteriors with one residual per domain, so the driver sees nothing but one total per domain, and each step
-goes against the gradient and is projected onto the rates allowed, where the document is. Steps have momentum, which
-is dropped when it leads away. The rates are columns; every few steps they are checkpointed, which keeps plans short
-and what a lost executor costs small.
+goes against the gradient and is projected onto the rates allowed, where the document is. The gradient is scaled by the
+curvature between the domains, one small matrix that comes with the totals; a step that leads away is halved, and in
+the end taken plain. The rates are a column; every few steps it is checkpointed, which keeps plans short and what a
+lost executor costs small.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ import logging
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, release
 
-#: A fit has stalled once so many steps in a row leave its least squares where they were.
-PATIENCE = 20
+#: A fit has stalled once so many steps leave more than four fifths of its least squares.
+PATIENCE = 10
+#: The shortest of the scaled steps, the most domains with such; with a least rate, each domain's mean rate is at least
+#: so many times that, which leaves the rates room to be fitted.
+SHORTEST, MOST_SCALED, SLACK = 1 / 64, 32, 1.05
 #: Labelled rows that are read to learn, words that tell of each domain, words of evidence after which belief is capped.
 TRAIN_ROWS, WORDS_EACH, EVIDENCE = 4_000, 25, 20.0
 TOLERANCE = 1e-5
@@ -112,47 +117,57 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text
 
 
 def fit(members: DataFrame, k: int, targets: list[float] | None, least_rate: float, temper: float) -> tuple[DataFrame, list[float], list[float]]:
-    """(members with their rate, targets in tokens, totals reached), of the best step if the targets cannot be met.
+    """(members with their rate, targets in tokens, totals reached); the last are the nearest if targets cannot be met.
 
-    members should be checkpointed. Steps end at the tolerance or when the fit has stalled.
+    members should be checkpointed. Steps end at the tolerance or when the fit has stalled; each lowers the error.
     """
     names = members.columns
-    sums = lambda df, rate: [float(x or 0) for x in df.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{j}") * F.col(rate)) for j in range(k))).first()]
-    state = members.select(*names, F.lit(float(max(1.0, least_rate))).alias("rate"), F.lit(float(max(1.0, least_rate))).alias("ahead"))
-    start = sums(state, "rate")
-    natural = [x / max(1.0, least_rate) for x in start]
+    p = [F.col(f"p{j}") for j in range(k)]
+    parts = [F.sum(F.col("n_tokens") * x * F.col("rate")) for x in p]
+    # The curvature of the totals over rates that are free to fall; for very many domains steps go unscaled.
+    free = F.when(F.col("rate") > least_rate, F.col("n_tokens")).otherwise(0)
+    bends = [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i + 1)] if k <= MOST_SCALED else []
+
+    def measured(df: DataFrame) -> tuple[list[float], np.ndarray]:
+        found = [float(x or 0) for x in df.agg(*parts, *bends).first()]
+        bend = np.zeros((k, k))
+        bend[np.tril_indices(k)] = found[k:] or 0.0
+        return found[:k], bend + np.tril(bend, -1).T
+
+    at_first = float(max(1.0, least_rate))
+    state = members.select(*names, F.lit(at_first).alias("rate"))
+    reached, bend = measured(state)
+    natural = [x / at_first for x in reached]
     if targets is None:
         targets = [x**temper for x in natural]
     whole = sum(targets)
     goal = [t / whole * sum(natural) if whole else 0.0 for t in targets]
-    if least_rate > 0:  # no document may be lost: enough tokens that every domain's mean rate is at least that
-        up = max((least_rate * x / g for x, g in zip(natural, goal, strict=True) if g > 0), default=1.0)
+    if least_rate > 0:  # no document may be lost: enough tokens that every domain's mean rate is above that
+        up = max((least_rate * SLACK * x / g for x, g in zip(natural, goal, strict=True) if g > 0), default=1.0)
         goal = [g * up for g in goal]
-    residual = lambda reached: [(r - g) / x if x > 0 else 0.0 for r, g, x in zip(reached, goal, natural, strict=True)]
-    error_of = lambda reached: sum(e * e * x for e, x in zip(residual(reached), natural, strict=True))
-    far = lambda reached: max((abs(r - g) / max(g, 1.0) for r, g, x in zip(reached, goal, natural, strict=True) if x > 0), default=0.0)
-    reached = ahead = start
-    best, stalled, pace, step, held = (error_of(start), state, start), 0, 1.0, 0, []
-    while far(reached) >= TOLERANCE and stalled < PATIENCE:
-        pull = sum((F.col(f"p{j}") * F.lit(e) for j, e in enumerate(residual(ahead))), F.lit(0.0))
-        before = state.select(*names, F.col("rate").alias("before"), F.greatest(F.lit(float(least_rate)), F.col("ahead") - pull).alias("rate"))
-        last, reached = reached, sums(before, "rate")
-        # Totals are linear in the rates, so those of the point ahead need no pass of their own.
-        if error_of(reached) > error_of(last):
-            pace = 1.0  # the momentum led away: begin anew
-        pace, old = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
-        push = (old - 1) / pace
-        ahead = [r + push * (r - o) for r, o in zip(reached, last, strict=True)]
-        state = before.select(*names, "rate", (F.col("rate") + F.lit(push) * (F.col("rate") - F.col("before"))).alias("ahead"))
-        step += 1
-        if step % HELD == 0:
+    residual = lambda now: [(r - g) / x if x > 0 else 0.0 for r, g, x in zip(now, goal, natural, strict=True)]
+    error = lambda now: sum(e * e * x for e, x in zip(residual(now), natural, strict=True))
+    far = lambda now: max((abs(r - g) / max(g, 1.0) for r, g, x in zip(now, goal, natural, strict=True) if x > 0), default=0.0)
+    errors, pace, held = [error(reached)], 1.0 if bends else 0.0, []
+    while far(reached) >= TOLERANCE and not (len(errors) > PATIENCE and errors[-1] > 0.8 * errors[-1 - PATIENCE]):
+        step = residual(reached)
+        if pace >= SHORTEST:
+            gap = [r - g if x > 0 else 0.0 for r, g, x in zip(reached, goal, natural, strict=True)]
+            step = list(pace * np.linalg.solve(bend + np.diag([1e-6 * x if x > 0 else 1.0 for x in natural]), gap))
+        pull = sum((x * F.lit(float(e)) for x, e in zip(p, step, strict=True)), F.lit(0.0))
+        moved = state.select(*names, F.greatest(F.lit(float(least_rate)), F.col("rate") - pull).alias("rate"))
+        now, bend_now = measured(moved)
+        if pace >= SHORTEST and error(now) >= errors[-1]:
+            pace /= 2  # too far; the plain step never is, since memberships add up to one
+            continue
+        state, reached, bend, pace = moved, now, bend_now, min(1.0, pace * 4)
+        errors.append(error(reached))
+        if len(errors) % HELD == 0:
             state = checkpoint(state)
             held.append(state)
-        stalled = 0 if error_of(reached) < best[0] * (1 - TOLERANCE) else stalled + 1
-        best = min(best, (error_of(reached), state, reached), key=lambda b: b[0])
-    done = checkpoint(best[1].select(*names, "rate"))
+    done = checkpoint(state)
     release(*held)
-    return done, goal, best[2]
+    return done, goal, reached
 
 
 def mix(docs: DataFrame, table: DataFrame, targets: dict[str, float] | None = None, least_rate: float = 0.0, temper: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
