@@ -24,20 +24,78 @@ class RuleSeverity(Enum):
     INFO = "info"
 
 
-NodeType = Enum("NodeType", {x.upper(): x for x in ("dataset", "transformation", "model", "feature", "prediction", "external")})
-PIIType = Enum("PIIType", {x.upper(): x for x in ("email", "cpf", "cnpj", "phone_br", "phone_intl", "credit_card", "ip_address", "date_of_birth", "name", "ssn")})
-ComplianceFramework = Enum("ComplianceFramework", {x.upper(): x for x in ("gdpr", "lgpd", "hipaa", "ccpa")})
-RiskLevel = Enum("RiskLevel", {x.upper(): x for x in ("low", "medium", "high", "critical")})
-AssetType = Enum("AssetType", {x.upper(): x for x in ("dataset", "model", "feature", "pipeline", "report", "artifact")})
-AssetStatus = Enum("AssetStatus", {x.upper(): x for x in ("active", "deprecated", "archived", "draft")})
-CompatibilityMode = Enum("CompatibilityMode", {x.upper(): x for x in ("backward", "forward", "full", "none")})
-ChangeType = Enum("ChangeType", {x.upper(): x for x in ("column_added", "column_removed", "column_renamed", "type_changed", "nullable_changed")})
+class NodeType(Enum):
+    DATASET = "dataset"
+    TRANSFORMATION = "transformation"
+    MODEL = "model"
+    FEATURE = "feature"
+    PREDICTION = "prediction"
+    EXTERNAL = "external"
+
+
+class PIIType(Enum):
+    EMAIL = "email"
+    CPF = "cpf"
+    CNPJ = "cnpj"
+    PHONE_BR = "phone_br"
+    PHONE_INTL = "phone_intl"
+    CREDIT_CARD = "credit_card"
+    IP_ADDRESS = "ip_address"
+    DATE_OF_BIRTH = "date_of_birth"
+    NAME = "name"
+    SSN = "ssn"
+
+
+class ComplianceFramework(Enum):
+    GDPR = "gdpr"
+    LGPD = "lgpd"
+    HIPAA = "hipaa"
+    CCPA = "ccpa"
+
+
+class RiskLevel(Enum):
+    LOW = "low"
+    MEDIUM = "medium"
+    HIGH = "high"
+    CRITICAL = "critical"
+
+
+class AssetType(Enum):
+    DATASET = "dataset"
+    MODEL = "model"
+    FEATURE = "feature"
+    PIPELINE = "pipeline"
+    REPORT = "report"
+    ARTIFACT = "artifact"
+
+
+class AssetStatus(Enum):
+    ACTIVE = "active"
+    DEPRECATED = "deprecated"
+    ARCHIVED = "archived"
+    DRAFT = "draft"
+
+
+class CompatibilityMode(Enum):
+    BACKWARD = "backward"
+    FORWARD = "forward"
+    FULL = "full"
+    NONE = "none"
+
+
+class ChangeType(Enum):
+    COLUMN_ADDED = "column_added"
+    COLUMN_REMOVED = "column_removed"
+    COLUMN_RENAMED = "column_renamed"
+    TYPE_CHANGED = "type_changed"
+    NULLABLE_CHANGED = "nullable_changed"
 
 
 def now() -> str:
     return datetime.now(UTC).isoformat()
 
 
+# The names of the fields below, which are the keys of the records as dicts.
 class Record:
     """A dataclass whose to_dict() rounds and cuts as its field metadata say, and replaces enums by their values."""
 
