@@ -89,7 +89,7 @@ class DataProfiler:
         values = {r["column"]: r for r in value_stats(df).collect()} if _profiled(df) else {}
         numeric = [(i, c) for i, c in enumerate(df.columns) if is_number(kind(df, c)) and (stats[f"std_{i}"] or 0) > 0 and rows - stats[f"null_{i}"] >= 3]
         far = df.agg(*(F.sum((F.abs(present(df, c).cast("double") - F.lit(stats[f"mean_{i}"])) / F.lit(stats[f"std_{i}"]) > self.anomaly_zscore).cast("int")).alias(f"far_{i}") for i, c in numeric)).first() if numeric else None
-        head = (df.orderBy(order_by) if order_by else df).limit(max(self.sample_size * 20, 100)).select(*(_text(df, c).alias(str(i)) for i, c in enumerate(df.columns) if c in _profiled(df))).collect()
+        samples = self._samples(df, order_by) if rows else {}
         columns = []
         for i, c in enumerate(df.columns):
             got = lambda what: stats[f"{what}_{i}"] if f"{what}_{i}" in stats else None  # noqa: B023, E731
@@ -113,12 +113,22 @@ class DataProfiler:
                     "std_dev": rounded(got("std")),
                     "percentiles": rounded(pct),
                     "anomaly_score": rounded((far[f"far_{i}"] or 0) / (rows - nulls) if far and f"far_{i}" in far else 0.0),
-                    "sample_values": [r[str(i)] for r in head if c in _profiled(df) and r[str(i)] is not None][: self.sample_size],
+                    "sample_values": samples.get(c, []),
                 }
             )
         plan_bytes = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if hasattr(df, "_jdf") else None
         return {"dataset_name": dataset_name, "timestamp": now(), "row_count": rows, "column_count": len(df.columns), "columns": columns, "plan_size_bytes": plan_bytes, "duplicate_row_count": duplicate_rows(df).first()[0]}
 
+    def _samples(self, df: DataFrame, order_by: str | None) -> dict[str, list[str]]:
+        """The first present values of each column, over all rows: each takes the few that its own top-k wants."""
+        place = quoted(order_by) if order_by else F.monotonically_increasing_id()
+        numbered = df.select(place.alias("0place"), *(_text(df, c).alias(f"c{i}") for i, c in enumerate(_profiled(df))))
+        found = {}
+        for i, c in enumerate(_profiled(df)):
+            own = numbered.where(F.col(f"c{i}").isNotNull())
+            found[c] = [r[0] for r in (own.orderBy("0place") if order_by else own).limit(self.sample_size).select(f"c{i}").collect()]
+        return found
+
     def detect_schema(self, df: DataFrame) -> dict[str, str]:
         return {f.name: dtype_name(f.dataType) for f in df.schema}
 

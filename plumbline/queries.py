@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import bigram_similarity, masked
 from .operators import catalog, compliance, evolution, profiling, transforms
-from .operators.lineage import LineageGraph, LineageTracker, TransformationRecord
+from .operators.lineage import STYLE, LineageGraph, LineageTracker, TransformationRecord
 from .operators.quality import DataQualityValidator
 from .plans import graphs
 from .sources.tables import read
@@ -190,8 +190,8 @@ def dq_11_rules(spark, d):
 
 @query("SELECT count(*) AS row_count, CAST(6 AS BIGINT) AS column_count FROM events")
 def pf_01_dataset(spark, d):
-    df = read(spark, d, "events")
-    return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(df.columns)).cast("long"))
+    p = profiling.DataProfiler().profile(read(spark, d, "events"), "events")
+    return spark.createDataFrame([(p["row_count"], p["column_count"])], "row_count long, column_count long")
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS null_count, round(count({c}) / count(*), 4) AS completeness FROM {RATED}" for c in ("doc_id", "text", "lang", "quality")))
@@ -202,12 +202,12 @@ def pf_02_completeness(spark, d):
     return one.select(F.explode(cells).alias("x")).select("x.*")
 
 
-PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count, round(count(DISTINCT {c}) / count({c}), 4) AS uniqueness FROM part" for c in PART))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count, round(count(DISTINCT {c}) / count({c}), 4) AS uniqueness FROM lineitem" for c in LINEITEM))
 def pf_03_distinct(spark, d):
-    return profiling.value_stats(read(spark, d, "part")).select("column", "unique_count", F.round(F.col("unique_count") / F.col("non_null"), 4).alias("uniqueness"))
+    return profiling.value_stats(read(spark, d, "lineitem")).select("column", "unique_count", F.round(F.col("unique_count") / F.col("non_null"), 4).alias("uniqueness"))
 
 
 @query("SELECT p_brand AS value, count(*) AS \"count\" FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5")
@@ -217,10 +217,11 @@ def pf_04_most_common(spark, d):
 
 @query("SELECT c_name AS value FROM customer ORDER BY c_custkey LIMIT 5")
 def pf_05_sample_values(spark, d):
-    return read(spark, d, "customer").orderBy("c_custkey").limit(5).select(F.col("c_name").alias("value"))
+    p = profiling.DataProfiler().profile(read(spark, d, "customer"), "customer", order_by="c_custkey")
+    return spark.createDataFrame([(v,) for c in p["columns"] if c["name"] == "c_name" for v in c["sample_values"]], "value string")
 
 
-NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+NUMERIC = LINEITEM[:8]
 
 
 def numeric_stats(spark, d, *fields) -> DataFrame:
@@ -268,9 +269,10 @@ def pf_12_text_length(spark, d):
     return profiling.basic_stats(read(spark, d, "documents").select("text")).select(F.col("min_0").cast("long").alias("min_value"), F.col("max_0").cast("long").alias("max_value"), F.round("mean_0", 4).alias("mean"))
 
 
-@query("SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+@query(f"SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM (SELECT {', '.join(LINEITEM)} FROM lineitem UNION ALL SELECT {', '.join(LINEITEM)} FROM lineitem WHERE l_linenumber = 1) GROUP BY {', '.join(LINEITEM)})")
 def pf_13_duplicate_rows(spark, d):
-    return profiling.duplicate_rows(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
+    df = read(spark, d, "lineitem")
+    return profiling.duplicate_rows(df.unionByName(df.where("l_linenumber = 1")))
 
 
 @query()
@@ -299,11 +301,37 @@ def pf_16_compare_schemas(spark, d):
     return spark.createDataFrame(rows, "column string, state string")
 
 
-@query("""SELECT 'c_acctbal' AS name, count(*) AS total_count, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, round(stddev_samp(c_acctbal), 4) AS std_dev, count(DISTINCT c_acctbal) AS unique_count FROM customer""")
+CUSTOMER = {"c_custkey": "int64", "c_name": "object", "c_nationkey": "int32", "c_acctbal": "float64", "c_mktsegment": "object", "none": "float64"}
+
+
+def profile_sql(column: str, dtype: str) -> str:
+    """All fields of a column's profile as JSON text; "none" holds nothing but NaN and nulls."""
+    table = "(SELECT *, CAST(NULL AS DOUBLE) AS none FROM customer)"
+    number = dtype != "object"
+    value = f"CAST({column} AS DOUBLE)" if number else f"length({column})"
+    text = f"CAST({column} AS VARCHAR)"
+    common = f"(SELECT list(struct_pack(value := v, \"count\" := n) ORDER BY n DESC, v) FROM (SELECT {text} AS v, count(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 5))"
+    far = f"(SELECT count(*) FROM {table}, (SELECT avg({value}) AS m, stddev_samp({value}) AS s FROM {table}) WHERE s > 0 AND abs({value} - m) / s > 3)" if number else "0"
+    point = lambda q: f"round(quantile_cont({value}, {q}), 4)" if number else "NULL"
+    return f"""SELECT '{column}' AS name, '{dtype}' AS dtype, count(*) AS total_count, count(*) - count({column}) AS null_count, round(count({column}) / count(*), 4) AS completeness,
+count(DISTINCT {column}) AS unique_count, coalesce(round(count(DISTINCT {column}) / nullif(count({column}), 0), 4), 0) AS uniqueness, coalesce(array_to_string(list_transform({common}, lambda x: x."value" || '=' || x."count"), '|'), '') AS most_common,
+round(CAST(min({value}) AS DOUBLE), 4) AS min_value, round(CAST(max({value}) AS DOUBLE), 4) AS max_value, round(avg({value}), 4) AS mean, {point(0.5)} AS median, {f"round(stddev_samp({value}), 4)" if number else "CAST(NULL AS DOUBLE)"} AS std_dev,
+{point(0.25)} AS p25, {point(0.99)} AS p99, coalesce(round({far} / nullif(count({column}), 0), 4), 0) AS anomaly_score, coalesce((SELECT string_agg({text}, '|' ORDER BY c_custkey) FROM (SELECT * FROM {table} WHERE {column} IS NOT NULL ORDER BY c_custkey LIMIT 5)), '') AS sample_values FROM {table}"""
+
+
+PROFILE_SQL = " UNION ALL ".join(profile_sql(c, t) for c, t in CUSTOMER.items())
+
+
+@query(PROFILE_SQL)
 def pf_17_profile(spark, d):
-    p = profiling.DataProfiler().profile(read(spark, d, "customer").select("c_acctbal"), "customer")["columns"][0]
-    fields = ("name", "total_count", "mean", "median", "std_dev", "unique_count")
-    return spark.createDataFrame([tuple(p[f] for f in fields)], "name string, total_count long, mean double, median double, std_dev double, unique_count long")
+    df = read(spark, d, "customer").withColumn("none", F.when(F.col("c_custkey") % 2 == 0, F.lit(float("nan"))))
+    number = lambda x: None if x is None else round(float(x), 4)
+    rows = []
+    for p in profiling.DataProfiler().profile(df, "customer", order_by="c_custkey")["columns"]:
+        common = "|".join(f"{x['value']}={x['count']}" for x in p["most_common"])
+        plain = [p[f] for f in ("name", "dtype", "total_count", "null_count", "completeness", "unique_count", "uniqueness")]
+        rows.append((*plain, common, *map(number, (p["min_value"], p["max_value"], p["mean"], p["median"], p["std_dev"], p["percentiles"].get("p25"), p["percentiles"].get("p99"), p["anomaly_score"])), "|".join(p["sample_values"])))
+    return spark.createDataFrame(rows, "name string, dtype string, total_count long, null_count long, completeness double, unique_count long, uniqueness double, most_common string, min_value double, max_value double, mean double, median double, std_dev double, p25 double, p99 double, anomaly_score double, sample_values string")
 
 
 # Compliance
@@ -382,10 +410,11 @@ def cp_11_recommendations(spark, d):
     return spark.createDataFrame([(r.dataset_name, i, t) for r in report(spark, d) for i, t in enumerate(r.recommendations)], "dataset string, place int, text string")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS pii_type, count(*) AS sample_count FROM {table}" for table, c, t in (("lineitem", "l_shipdate", "ip_address"),)))
+@query("SELECT 'lineitem' AS dataset, 'l_shipdate' AS \"column\", 'ip_address' AS pii_type, count(*) AS sample_count FROM lineitem UNION ALL SELECT 'documents', 'text', pii_type, sample_count FROM (" + scan_sql("text", "documents") + ")")
 def cp_12_full_check(spark, d):
-    r = compliance.ComplianceEngine(as_of=AS_OF).run_compliance_check(read(spark, d, "lineitem").drop("l_returnflag", "l_linestatus"), "lineitem")
-    return spark.createDataFrame([(f["column"], f["pii_type"], f["sample_count"]) for f in r.pii_findings], "column string, pii_type string, sample_count long")
+    engine = compliance.ComplianceEngine(as_of=AS_OF)
+    reports = [engine.run_compliance_check(read(spark, d, t), t) for t in ("lineitem", "documents")]
+    return spark.createDataFrame([(r.dataset_name, f["column"], f["pii_type"], f["sample_count"]) for r in reports for f in r.pii_findings], "dataset string, column string, pii_type string, sample_count long")
 
 
 # Lineage, on the hierarchy of regions, nations, customers and orders
@@ -482,27 +511,23 @@ def lg_07_upstream(spark, d):
 
 @query(f"WITH {EDGES_SQL} SELECT target_id AS node_id, 'successor' AS side FROM edges WHERE source_id = 'n3' UNION ALL SELECT source_id, 'predecessor' FROM edges WHERE target_id = 'n3'")
 def lg_08_direct(spark, d):
-    edges = hierarchy(spark, d)[1]
-    return edges.where("source_id = 'n3'").select(F.col("target_id").alias("node_id"), F.lit("successor").alias("side")).union(edges.where("target_id = 'n3'").select("source_id", F.lit("predecessor")))
+    return graphs.neighbours(hierarchy(spark, d)[1], "n3")
 
 
 @query(f"WITH {EDGES_SQL}, {NODES_SQL} SELECT node_id, 'root' AS side FROM nodes WHERE node_id NOT IN (SELECT target_id FROM edges) UNION ALL SELECT node_id, 'leaf' FROM nodes WHERE node_id NOT IN (SELECT source_id FROM edges)")
 def lg_09_roots_leaves(spark, d):
-    nodes, edges = hierarchy(spark, d)
-    without = lambda end, side: nodes.join(edges.select(F.col(end).alias("node_id")).distinct(), "node_id", "left_anti").select("node_id", F.lit(side).alias("side"))
-    return without("target_id", "root").union(without("source_id", "leaf"))
+    return graphs.ends(*hierarchy(spark, d))
 
 
-@query(f"WITH {NODES_SQL} SELECT node_type, count(*) AS affected FROM ({reach_sql('r1')}) JOIN nodes USING (node_id) GROUP BY node_type")
+@query(f"WITH {NODES_SQL} SELECT node_id, node_type, depth FROM ({reach_sql('r1')}) JOIN nodes USING (node_id)")
 def lg_10_impact(spark, d):
     nodes, edges = hierarchy(spark, d)
-    return graphs.reach(edges, "r1").join(nodes, "node_id").groupBy("node_type").agg(F.count(F.lit(1)).alias("affected"))
+    return graphs.reach(edges, "r1").join(nodes, "node_id").select("node_id", "node_type", "depth")
 
 
 @query(f"WITH RECURSIVE {GRAPH_SQL}, walk AS (SELECT 'a' AS node_id, 'a' AS path UNION ALL SELECT e.target_id, w.path || '>' || e.target_id FROM walk w JOIN edges e ON e.source_id = w.node_id) SELECT path FROM walk WHERE node_id NOT IN (SELECT source_id FROM edges)")
 def lg_11_paths(spark, d):
-    sample_graph().to_df(spark)[1].createOrReplaceTempView("plumbline_edges")
-    return spark.sql(graphs.paths_sql("plumbline_edges", "a", 100)).select(F.array_join("path", ">").alias("path"))
+    return graphs.paths(spark, sample_graph().to_df(spark)[1], "a", 100).select(F.array_join("path", ">").alias("path"))
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, walk AS (SELECT node_id, 0 AS depth FROM nodes WHERE node_id NOT IN (SELECT target_id FROM edges) UNION SELECT e.target_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_id = w.node_id) SELECT node_id, CAST(max(depth) AS INTEGER) AS level FROM walk GROUP BY node_id")
@@ -510,9 +535,15 @@ def lg_12_topological_layers(spark, d):
     return graphs.layers(*hierarchy(spark, d))
 
 
-@query(f"""WITH {GRAPH_SQL} SELECT '  "' || source_id || '" -> "' || target_id || '"' || CASE WHEN transformation <> '' THEN ' [label="' || transformation || '"]' ELSE '' END || ';' AS line FROM edges""")
+# Shape and colour by type of node.
+DOT_SQL = "styles(node_type, shape, colour) AS (VALUES " + ", ".join(f"('{t}', '{shape}', '{colour}')" for t, (shape, colour) in STYLE.items()) + ")"
+
+
+@query(f"""WITH {GRAPH_SQL}, {DOT_SQL} SELECT line FROM (VALUES ('digraph DataLineage {{'), ('  rankdir=LR;'), ('  node [style=filled, fontname="Helvetica"];'), ('}}')) v(line)
+UNION ALL SELECT '  "' || node_id || '" [label="' || name || '\\n[' || node_type || ']", shape=' || shape || ', fillcolor="' || colour || '", fontcolor="white"];' FROM nodes JOIN styles USING (node_type)
+UNION ALL SELECT '  "' || source_id || '" -> "' || target_id || '"' || CASE WHEN transformation <> '' THEN ' [label="' || transformation || '"]' ELSE '' END || ';' FROM edges""")
 def lg_13_dot(spark, d):
-    return ids(spark, [x for x in sample_graph().to_dot().split("\n") if "->" in x], "line")
+    return ids(spark, sample_graph().to_dot().split("\n"), "line")
 
 
 @query(f"WITH {EDGES_SQL} SELECT n_name, 'r' || n_regionkey = 'r0' AS makes_cycle FROM nation")
@@ -523,9 +554,7 @@ def lg_14_cycle(spark, d):
 
 @query(f"WITH {EDGES_SQL}, {NODES_SQL}, types(node_type) AS (VALUES ('dataset'), ('transformation'), ('model'), ('feature'), ('prediction'), ('external')) SELECT node_type, count(node_id) AS n FROM types LEFT JOIN nodes USING (node_type) GROUP BY node_type")
 def lg_15_summary(spark, d):
-    types = spark.createDataFrame([(t.value,) for t in NodeType], "node_type string")
-    own = hierarchy(spark, d)[0].groupBy("node_type").agg(F.count(F.lit(1)).alias("c"))
-    return types.join(own, "node_type", "left").select("node_type", F.coalesce("c", F.lit(0)).alias("n"))
+    return graphs.type_counts(hierarchy(spark, d)[0], [t.value for t in NodeType])
 
 
 @cache
@@ -646,10 +675,12 @@ def ct_08_by_type(spark, d):
     return assets(spark).where(catalog.matches(asset_type="feature")).select("asset_id")
 
 
-@query(f"WITH {ASSETS_SQL} SELECT 'type' AS what, asset_type AS value, count(*) AS n FROM assets GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM assets GROUP BY 2 UNION ALL SELECT 'owner', owner, count(*) FROM assets WHERE owner <> '' GROUP BY 2")
+@query(f"WITH {ASSETS_SQL} SELECT 'type' AS what, asset_type AS value, count(*) AS n FROM assets GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM assets GROUP BY 2 UNION ALL SELECT DISTINCT 'owner', owner, CAST(1 AS BIGINT) FROM assets WHERE owner <> '' UNION ALL SELECT 'all', 'assets', count(*) FROM assets")
 def ct_09_summary(spark, d):
-    own = assets(spark).select(F.explode(F.array(F.struct(F.lit("type").alias("what"), F.col("asset_type").alias("value")), F.struct(F.lit("status").alias("what"), F.col("status").alias("value")), F.struct(F.lit("owner").alias("what"), F.col("owner").alias("value")))).alias("x")).select("x.*")
-    return own.where("value <> ''").groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"))
+    got = sample_catalog().summary()
+    counted = [(what, value, n) for what, key in (("type", "by_type"), ("status", "by_status")) for value, n in got[key].items()]
+    rows = [*counted, *(("owner", o, 1) for o in got["owners"]), ("all", "assets", got["total_assets"])]
+    return spark.createDataFrame(rows, "what string, value string, n long")
 
 
 # Schema evolution
@@ -681,9 +712,19 @@ FROM (SELECT "column", o.type AS old_value, n.type AS new_value, CASE WHEN o.typ
 FROM (SELECT * FROM {values_sql(V1)}) o FULL JOIN (SELECT * FROM {values_sql(V2)}) n USING ("column")) WHERE change_type IS NOT NULL"""
 
 
-@query(DIFF_SQL)
+#: One old name is like one new name at least at 0.8, so the greedy choice of the operator is the join itself.
+RENAMED_SQL = f"""renamed AS (SELECT o."column" AS old_name, n."column" AS new_name, o.type AS old_value, n.type AS new_value FROM (SELECT * FROM {values_sql(V1)}) o, (SELECT * FROM {values_sql(V2)}) n
+WHERE o."column" NOT IN (SELECT "column" FROM {values_sql(V2)}) AND n."column" NOT IN (SELECT "column" FROM {values_sql(V1)}) AND SIMILARITY >= 0.8),
+plain AS ({DIFF_SQL}), changes AS (SELECT old_name || ' -> ' || new_name AS "column", 'column_renamed' AS change_type, old_value, new_value, true AS breaking, old_name, new_name FROM renamed
+UNION ALL SELECT "column", change_type, old_value, new_value, breaking, "column", "column" FROM plain WHERE NOT (change_type = 'column_removed' AND "column" IN (SELECT old_name FROM renamed)) AND NOT (change_type = 'column_added' AND "column" IN (SELECT new_name FROM renamed)))"""
+
+
+def renamed_sql() -> str:
+    return RENAMED_SQL.replace("SIMILARITY", SIMILARITY_SQL.replace("lower(a)", 'lower(o."column")').replace("lower(b)", 'lower(n."column")'))
+
+
 def ev_02_changes(spark, d):
-    return evolution.diff(schema_frame(spark, V1), schema_frame(spark, V2))
+    return evolution.detect(schema_frame(spark, V1), schema_frame(spark, V2)).select("column", "change_type", "old_value", "new_value", "breaking")
 
 
 BIGRAM = "(CASE WHEN length({0}) > 1 THEN list_distinct(list_transform(range(1, length({0})), lambda i: substring({0}, i, 2))) ELSE [{0}] END)"
@@ -696,6 +737,9 @@ def ev_03_similarity(spark, d):
     return n.select(F.col("n_name").alias("a"), "n_regionkey").join(n.select(F.col("n_name").alias("b"), "n_regionkey"), "n_regionkey").select("a", "b", F.round(bigram_similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
 
 
+query(f'WITH {renamed_sql()} SELECT "column", change_type, old_value, new_value, breaking FROM changes')(ev_02_changes)
+
+
 @query("SELECT 'customer_idx' AS old, 'customer_id' AS new, 0.9091 AS similarity".replace("0.9091", "CAST(0.9091 AS DOUBLE)"))
 def ev_04_renames(spark, d):
     gone, come = ({c: "" for c in x.keys() - y.keys()} for x, y in ((V1, V2), (V2, V1)))
@@ -720,10 +764,13 @@ def ev_06_compatibility(spark, d):
     return both.withColumn("breaks", evolution.breaks(F.col("mode"), F.col("change_type"), F.col("unsafe")))
 
 
-@query(f"""SELECT CASE change_type WHEN 'column_added' THEN 'ALTER TABLE ADD COLUMN "' || "column" || '" ' || new_value || ' DEFAULT NULL;' WHEN 'column_removed' THEN '-- WARNING: dropping column "' || "column" || '" is destructive.' || chr(10) || 'ALTER TABLE DROP COLUMN "' || "column" || '";'
-ELSE 'ALTER TABLE ALTER COLUMN "' || "column" || '" TYPE ' || new_value || ';  -- was ' || old_value END AS statement FROM ({DIFF_SQL})""")
+@query(f"""WITH {renamed_sql()} SELECT CASE change_type WHEN 'column_renamed' THEN 'ALTER TABLE RENAME COLUMN "' || old_name || '" TO "' || new_name || '";' WHEN 'column_added' THEN 'ALTER TABLE ADD COLUMN "' || "column" || '" ' || new_value || ' DEFAULT NULL;' WHEN 'column_removed' THEN '-- WARNING: dropping column "' || "column" || '" is destructive.' || chr(10) || 'ALTER TABLE DROP COLUMN "' || "column" || '";'
+ELSE 'ALTER TABLE ALTER COLUMN "' || "column" || '" TYPE ' || new_value || ';  -- was ' || old_value END AS statement FROM changes""")
 def ev_07_migrations(spark, d):
-    return evolution.diff(schema_frame(spark, V1), schema_frame(spark, V2)).select(evolution.migration(F.col("change_type"), F.col("column"), F.col("old_value"), F.col("new_value")).alias("statement"))
+    renamed = F.col("change_type") == "column_renamed"
+    found = evolution.detect(schema_frame(spark, V1), schema_frame(spark, V2))
+    statement = evolution.migration(F.col("change_type"), F.col("column"), F.when(renamed, F.col("old_name")).otherwise(F.col("old_value")), F.when(renamed, F.col("new_name")).otherwise(F.col("new_value")))
+    return found.select(statement.alias("statement"))
 
 
 @query("SELECT CAST(version AS INTEGER) AS version, \"column\", type FROM (SELECT 1 AS version, * FROM " + values_sql(V1) + " UNION ALL SELECT 2, * FROM " + values_sql(V2) + ")")
