@@ -1,10 +1,12 @@
-"""Media columns: Netpbm (P5, P6) and BMP images as bytes, decoded to numpy arrays, resized by area with an integral
+"""Media columns: Netpbm and BMP images as bytes, decoded to numpy arrays, resized by area with an integral
 image, and written as NPY tiles with a difference hash."""
 
 from __future__ import annotations
 
 import hashlib
 import io
+import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,6 +20,8 @@ from .common import id_text, texts
 #: Bytes of one image row: 576 grey pixels, or 192 pixels of three samples (so that BMP rows need no padding).
 ROW = 576
 FORMATS = ("pgm", "ppm", "bmp")
+#: Rows of pixels that are summed up at a time.
+STRIP = 1024
 
 
 def encode_image(pixels: np.ndarray, kind: str) -> bytes:
@@ -32,19 +36,10 @@ def encode_image(pixels: np.ndarray, kind: str) -> bytes:
     return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
-def decode_image(data: bytes) -> np.ndarray:
-    """The pixels of a P5, P6 (maxval 255) or uncompressed 24-bit BMP file; ValueError for anything else."""
-    if data[:2] == b"BM":
-        at, size, width, height, _, depth, packed = *struct.unpack_from("<I", data, 10), *struct.unpack_from("<IiiHHI", data, 14)
-        if size < 40 or depth != 24 or packed:
-            raise ValueError("only uncompressed 24-bit BMP is read")
-        line = -(-width * 3 // 4) * 4
-        rows = np.frombuffer(data, np.uint8, line * abs(height), at).reshape(abs(height), line)[:, : width * 3].reshape(abs(height), width, 3)[:, :, ::-1]
-        return rows[::-1] if height > 0 else rows
-    if data[:2] not in (b"P5", b"P6"):
-        raise ValueError("neither Netpbm nor BMP")
-    fields, at = [], 2
-    while len(fields) < 3:
+def _fields(data: bytes, n: int) -> tuple[list[int], int]:
+    """The next n numbers of a Netpbm header, comments left out, and where they end."""
+    out, at = [], 2
+    while len(out) < n:
         while data[at : at + 1].isspace():
             at += 1
         if data[at : at + 1] == b"#":
@@ -53,43 +48,108 @@ def decode_image(data: bytes) -> np.ndarray:
         end = at
         while data[end : end + 1].isdigit():
             end += 1
-        fields.append(int(data[at:end]))
+        if end == at:
+            raise ValueError("no number where the header needs one")
+        out.append(int(data[at:end]))
         at = end
-    width, height, most = fields
-    if most != 255:
-        raise ValueError("only 8-bit samples are read")
-    shape = (height, width) if data[1:2] == b"5" else (height, width, 3)
-    return np.frombuffer(data, np.uint8, int(np.prod(shape)), at + 1).reshape(shape)
+    return out, at
+
+
+def _netpbm(data: bytes) -> np.ndarray:
+    kind = int(data[1:2])
+    bitmap, colour, plain = kind in (1, 4), kind in (3, 6), kind < 4
+    numbers, at = _fields(data, 2 if bitmap else 3)
+    width, height, most = *numbers[:2], 1 if bitmap else numbers[2]
+    if not 0 < most < 65536:
+        raise ValueError("a maximum that Netpbm does not know")
+    shape = (height, width, 3) if colour else (height, width)
+    count = math.prod(shape)
+    if plain:
+        body = re.sub(rb"#[^\n]*", b"", data[at:])
+        values = np.frombuffer(bytes(x for x in body if x in b"01"), np.uint8) - 48 if bitmap else np.array(body.split(), np.int64)
+    elif bitmap:
+        line = -(-width // 8)
+        values = np.unpackbits(np.frombuffer(data, np.uint8, line * height, at + 1).reshape(height, line), axis=1)[:, :width].ravel()
+    else:
+        values = np.frombuffer(data, np.uint8 if most < 256 else ">u2", count, at + 1)
+    if len(values) < count:
+        raise ValueError("fewer samples than the header says")
+    values = values[:count].reshape(shape)
+    if bitmap:
+        return ((1 - values) * 255).astype(np.uint8)  # ones are black
+    return values.astype(np.uint8) if most == 255 else np.rint(values.astype(np.float64) * (255 / most)).astype(np.uint8)
+
+
+def _bmp(data: bytes) -> np.ndarray:
+    at, size, width, height, _, depth, packed = *struct.unpack_from("<I", data, 10), *struct.unpack_from("<IiiHHI", data, 14)
+    if size < 40 or depth not in (1, 4, 8, 24, 32) or packed not in (0, 3) or packed and depth != 32:
+        raise ValueError("only BMP of 1, 4, 8, 24 or 32 bits without compression is read")
+    line, rows = -(-width * depth // 32) * 4, abs(height)
+    body = np.frombuffer(data, np.uint8, line * rows, at).reshape(rows, line)
+    if depth >= 24:
+        pixels = body[:, : width * depth // 8].reshape(rows, width, depth // 8)
+        if packed:
+            masks = struct.unpack_from("<III", data, 54)
+            whole = pixels.view("<u4")[:, :, 0]
+            pixels = np.stack([whole >> (8 * (m.bit_length() // 8 - 1)) & 255 for m in masks], axis=2).astype(np.uint8)
+        else:
+            pixels = pixels[:, :, 2::-1]
+    else:
+        places = np.unpackbits(body, axis=1).reshape(rows, -1, depth) @ (1 << np.arange(depth - 1, -1, -1))
+        palette = np.frombuffer(data, np.uint8, at - 14 - size, 14 + size)
+        pixels = palette[: len(palette) // 4 * 4].reshape(-1, 4)[:, 2::-1][places[:, :width]]
+    return pixels[::-1] if height > 0 else pixels
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """The pixels as uint8: Netpbm P1 to P6 (samples scaled to 255), or BMP of 1, 4, 8, 24 or 32 bits (the last without
+    its alpha); ValueError for anything else."""
+    if data[:2] == b"BM":
+        return _bmp(data)
+    if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
+        return _netpbm(data)
+    raise ValueError("neither Netpbm nor BMP")
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
     return pixels if pixels.ndim == 2 else ((pixels.astype(np.uint32) * np.array([299, 587, 114], np.uint32)).sum(axis=2) // 1000).astype(np.uint8)
 
 
-def integral(image: np.ndarray) -> np.ndarray:
-    out = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    out[1:, 1:] = image.cumsum(axis=0, dtype=np.int64).cumsum(axis=1)
+def integral_rows(pixels: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Rows of the integral image of the grey pixels at the given heights, which may lie within a row of pixels.
+
+    The image is summed up strip by strip, so memory is that of a strip and of the rows asked for.
+    """
+    height, width = pixels.shape[:2]
+    out = np.zeros((len(ys), width + 1))
+    whole = np.minimum(ys.astype(int), height - 1)
+    above = np.zeros(width, np.int64)
+    for top in range(0, height, STRIP):
+        strip = grey(pixels[top : top + STRIP]).astype(np.int64)
+        sums = np.vstack([np.zeros(width, np.int64), strip.cumsum(axis=0)])
+        for i in np.flatnonzero((whole >= top) & (whole < top + STRIP)):
+            out[i, 1:] = (above + sums[whole[i] - top] + (ys[i] - whole[i]) * strip[whole[i] - top]).cumsum()
+        above = above + sums[-1]
     return out
 
 
-def area_resize(sums: np.ndarray, height: int, width: int) -> np.ndarray:
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target cell, cells that cut pixels included: bilinear samples of the integral image, differenced."""
-    ys, xs = np.linspace(0, sums.shape[0] - 1, height + 1), np.linspace(0, sums.shape[1] - 1, width + 1)
-    y, x = np.minimum(ys.astype(int), sums.shape[0] - 2), np.minimum(xs.astype(int), sums.shape[1] - 2)
-    fy, fx = (ys - y)[:, None], xs - x
-    rows = sums[y] * (1 - fy) + sums[y + 1] * fy
-    at = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
+    ys, xs = np.linspace(0, pixels.shape[0], height + 1), np.linspace(0, pixels.shape[1], width + 1)
+    rows = integral_rows(pixels, ys)
+    x = np.minimum(xs.astype(int), pixels.shape[1] - 1)
+    at = rows[:, x] * (1 - (xs - x)) + rows[:, x + 1] * (xs - x)
     return np.diff(np.diff(at, axis=0), axis=1) / ((ys[1] - ys[0]) * (xs[1] - xs[0]))
 
 
-def difference_hash(sums: np.ndarray) -> str:
-    small = area_resize(sums, 8, 9)
+def difference_hash(pixels: np.ndarray) -> str:
+    small = area_resize(pixels, 8, 9)
     return np.packbits(small[:, 1:] > small[:, :-1] + 1e-9).tobytes().hex()
 
 
-def npy_tile(sums: np.ndarray, side: int) -> bytes:
+def npy_tile(pixels: np.ndarray, side: int) -> bytes:
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(sums, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(area_resize(pixels, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -109,7 +169,8 @@ FILES = SCHEMA + ", media binary, tile_npy binary"
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", side: int = 32, files: bool = True) -> DataFrame:
     """Each text as an image (media), its NPY tile and its digests; ``files=False`` leaves the two files out.
 
-    Null and empty text give one row of bytes 255. One pass without a shuffle; a row needs memory for its own image.
+    Null and empty text give one row of bytes 255; equal texts equal values; repeated and null ids a row each; other
+    columns are not read. One pass without a shuffle; a row needs memory for its own image.
     An empty table gives an empty result.
     """
     schema = pa.schema([*FIELDS, ("media", pa.binary()), ("tile_npy", pa.binary())]) if files else FIELDS
@@ -122,10 +183,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 _, media = store(data)
                 pixels = decode_image(media)
                 back = pixels.tobytes()
-                sums = integral(grey(pixels))
-                tile = npy_tile(sums, side)
+                tile = npy_tile(pixels, side)
                 kind = {b"P5": "pgm", b"P6": "ppm", b"BM": "bmp"}[media[:2]]
-                row = (doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind}:{pixels.shape[1]}x{pixels.shape[0]}:{difference_hash(sums)}", hashlib.sha256(tile).hexdigest())
+                row = (doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind}:{pixels.shape[1]}x{pixels.shape[0]}:{difference_hash(pixels)}", hashlib.sha256(tile).hexdigest())
                 rows.append((*row, media, tile) if files else row)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
