@@ -13,6 +13,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -28,9 +29,11 @@ WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What these hold is text for machines, not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Never text of an article.
-NEVER = frozenset("head script style noscript template svg iframe object canvas form button select option textarea input label fieldset title audio video noembed noframes dialog".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math menclose meter mfrac mi mmultiscripts mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
+#: Never text of an article: what the page says about itself, code, and the parts of forms.
+NEVER = frozenset("head script style template title form button select option textarea input".split())
+#: Hints that make an inline element a node of its own, so that an advert within a paragraph can go without it.
+APART = frozenset(("ad",))
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math menclose meter mfrac mi mmultiscripts mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover object picture q rp rt ruby s samp semantics small span strike strong sub sup svg time tt u var video wbr".split())
 #: An opening tag ends an open element of the named kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tbody", "tr", "td"), "tbody": ("thead", "tr", "td", "th"), "option": ("option",)}
 KEEPS_OPEN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "thead": ("table",), "tbody": ("table",), "option": ("select",)}
@@ -51,6 +54,12 @@ HINT_OF = {word: hint for hint, words in HINTS.items() for word in words.split()
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption header footer nav aside address details summary center".split()
 
 
+def hints_of(attributes: str) -> set[str]:
+    """What the words of class, id, role and the like tell."""
+    told = (a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role", "itemprop", "aria-label"))
+    return {HINT_OF[w] for value in told for w in WORD.findall(value.lower()) if w in HINT_OF}
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "hints", "chars", "links", "label", "never", "commas")
 
@@ -59,45 +68,49 @@ class Node:
         self.chars = self.links = self.commas = 0
         self.label = parent.label if parent else None
         self.never = tag in NEVER or bool(parent and parent.never)
-        self.hints: set[str] = set()
-        if attributes:
-            for name, a, b, c in ATTRIBUTE.findall(attributes):
-                name = name.lower()
-                if name in ("class", "id", "role", "itemprop", "aria-label"):
-                    self.hints.update(HINT_OF[w] for w in WORD.findall((a or b or c).lower()) if w in HINT_OF)
-                elif name == "data-label":
-                    self.label = (a or b or c) == "content"
-                elif name == "aria-hidden":
-                    self.never |= (a or b or c).strip().lower() == "true"
-                elif name == "style":
-                    self.never |= bool(re.search(r"(?i)display\s*:\s*none", a or b or c))
-            # An attribute named hidden, with a value or without.
-            if re.search(r"(?i)(?:^|[\s/])hidden(?=[\s=/]|$)", ATTRIBUTE.sub(lambda m: f" {m[1]} ", attributes)):
-                self.never = True
+        self.hints = hints_of(attributes) if attributes else set()
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            if name.lower() == "data-label":
+                self.label = (a or b or c) == "content"
         if parent:
             parent.children.append(self)
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
+class Text(str):
+    """A block's text; runs has its parts with the node of each, where an inline element is a node of its own."""
+
+    runs: tuple[tuple[Node, str], ...] = ()
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, Text]]]:
     """(nodes, parents first; blocks of text in page order with the node that owns each)."""
     root = Node("html", None)
-    nodes, blocks, stack, inline = [root], [], [root], []
-    held: list[str] = []
+    nodes, blocks, stack = [root], [], [root]
+    inline: list[tuple[str, Node | None]] = []
+    held: list[tuple[Node, str]] = []
+
+    def here() -> Node:
+        return next((node for _, node in reversed(inline) if node), stack[-1])
 
     def flush() -> None:
         if held:
-            text = " ".join("".join(held).split())
+            block = Text(" ".join("".join(raw for _, raw in held).split()))
+            if block:
+                own = {id(node): node for node, _ in held}
+                for node in own.values():
+                    part = block if len(own) == 1 else " ".join("".join(raw for n, raw in held if n is node).split())
+                    node.chars += len(part)
+                    node.commas += part.count(",") + part.count(".")
+                if own.keys() != {id(stack[-1])}:
+                    block.runs = tuple(held)
+                blocks.append((stack[-1], block))
             held.clear()
-            if text:
-                stack[-1].chars += len(text)
-                stack[-1].commas += text.count(",") + text.count(".")
-                blocks.append((stack[-1], text))
 
     def text(raw: str) -> None:
         if raw:
             raw = unescape(raw) if "&" in raw else raw
-            held.append(raw)
-            if "a" in inline:
+            held.append((here(), raw))
+            if any(tag == "a" for tag, _ in inline):
                 stack[-1].links += len(raw)
 
     def pop_to(depth: int) -> None:
@@ -121,10 +134,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 at = end.start() if end else size
                 continue
             if tag in INLINE:
-                if tag in ("br", "wbr", "img"):
-                    held.append(" " if tag == "br" else "")
-                else:
-                    inline.append(tag)
+                if tag == "br":
+                    held.append((here(), " "))
+                elif tag not in VOID:
+                    apart = Node(tag, here(), attributes) if attributes and not APART.isdisjoint(hints_of(attributes)) else None
+                    if apart:
+                        nodes.append(apart)
+                    inline.append((tag, apart))
                 continue
             if tag in VOID:
                 flush()
@@ -150,8 +166,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         elif closing:
             tag = closing.lower()
             if tag in INLINE:
-                if tag in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(tag)]
+                for i in range(len(inline) - 1, -1, -1):
+                    if inline[i][0] == tag:
+                        del inline[i]
+                        break
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
@@ -267,7 +285,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
         return re.sub(r"^<(\w+)", rf'<\1 data-label="{how}"', markup)
 
     def block() -> str:
-        return rng.choice((f"<p>{prose()}</p>",) * 6 + (f"<h2>{words(1, 6)}</h2>", f"<ul><li>{prose()}</li><li>{said(2, 9)}</li></ul>", f"<blockquote><p>{prose()}</p></blockquote>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<pre>{words(3, 20)}</pre>", f"<figure><figcaption>{said(2, 9)}</figcaption></figure>", f"<p><b>{prose()}<br><p>{prose()}</p>", f"<section><h3>{words(1, 4)}</h3><p>{prose()}</p></section>", f"<div>{prose()}</div>", f"<p>{link()} {prose()}</p>"))
+        return rng.choice((f"<p>{prose()}</p>",) * 6 + (f"<h2>{words(1, 6)}</h2>", f"<ul><li>{prose()}</li><li>{said(2, 9)}</li></ul>", f"<blockquote><p>{prose()}</p></blockquote>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<pre>{words(3, 20)}</pre>", f"<figure><figcaption>{said(2, 9)}</figcaption></figure>", f"<p><b>{prose()}<br><p>{prose()}</p>", f"<section><h3>{words(1, 4)}</h3><p>{prose()}</p></section>", f"<div>{prose()}</div>", f"<p>{link()} {prose()}</p>", f'<p>{prose()} <span class="{rng.choice(("ad", "advert", "sponsored", "inline-ad"))}" data-label="noise">{words(2, 9)}</span> {prose()}</p>'))
 
     out = []
     for _ in range(n):
@@ -290,7 +308,14 @@ def main_text(page: str, weights: list[float], coupling: float) -> str:
     if not blocks:
         return ""
     content = dict(zip(map(id, nodes), marginals(nodes, weights, coupling), strict=True))
-    return "\n\n".join(text for node, text in blocks if content[id(node)] >= 0.5)
+    kept = (text if not text.runs else " ".join("".join(raw for n, raw in text.runs if content[id(n)] >= 0.5).split()) for node, text in blocks if text.runs or content[id(node)] >= 0.5)
+    return "\n\n".join(filter(None, kept))
+
+
+@cache
+def own_model() -> tuple[list[float], float]:
+    """The model of the generated pages, trained once a driver."""
+    return train(labelled_pages())
 
 
 def extract(pages: DataFrame, model: tuple[list[float], float] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -299,7 +324,7 @@ def extract(pages: DataFrame, model: tuple[list[float], float] | None = None, id
     Null or empty html, and pages without content, give an empty text. ``<br>`` is white space inside its block. One
     pass, no shuffle; the model (some sixty numbers) travels with the tasks. An empty table gives an empty result.
     """
-    weights, coupling = model or train(labelled_pages())
+    weights, coupling = model or own_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
