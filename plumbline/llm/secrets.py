@@ -133,8 +133,9 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, id
     own = F.transform(F.filter("all", lambda x: place(x) > 0), lambda x: F.struct(x["start"].alias("start"), place(x).alias("order"), x["end"].alias("end")))
     kinds = F.array(*(F.lit(rule.kind) for rule in rules)) if rules else F.array().cast("array<string>")
     ordered = F.transform(F.array_sort(F.array_distinct(own)), lambda x: F.struct(F.get(kinds, x["order"].cast("int") - 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    known = known.select("blob", ordered.alias("findings")).join(blobs, "blob")
-    found = join_counted(paths, known, ["blob"], "c", paths.count(), "left")
+    # Every blob has a row, so that a blob of many paths is joined apart whether it has findings or not.
+    known = blobs.join(known.select("blob", ordered.alias("findings")), "blob", "left")
+    found = join_counted(paths, known, ["blob"], "c", paths.count())
     return found.select("doc_id", "blob", F.coalesce(F.col("findings").cast(FINDINGS), F.array().cast(FINDINGS)).alias("findings")), new
 
 
