@@ -40,6 +40,8 @@ KEY = 6 + LENGTH + LEFT + 2
 POSITION = np.uint64((1 << 27) - 1)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CHUNK, RUN, BATCH, MOST_IN_TASK = 1 << 20, 150_000, 20_000, 200_000
+#: Bytes of keys, before front coding, that one target merges.
+TARGET_BYTES = 64 << 20
 #: Hashes that may be spread from the start; groups beyond this list are spread when they outgrow a task.
 MOST_HOT = 1 << 16
 NO_ID = np.iinfo(np.int64).max
@@ -131,7 +133,8 @@ def _mark(owners: int, bits: int, hot_tasks: int):
         field = np.zeros(width, bool)
         field[(dup >> np.uint64(48 - bits)).astype(np.int64) - owner * width] = True
         wide = np.argsort(-counts, kind="stable")[: max(1, MOST_HOT // owners)]
-        return pd.DataFrame({"owner": [owner], "bits": [zstandard.compress(np.packbits(field).tobytes(), 1)], "hot": [values[wide[counts[wide] > hot_tasks]].tobytes()]})
+        candidates = int(counts[counts > 1].sum()) + sum(map(len, twice))
+        return pd.DataFrame({"owner": [owner], "n": [candidates], "bits": [zstandard.compress(np.packbits(field).tobytes(), 1)], "hot": [values[wide[counts[wide] > hot_tasks]].tobytes()]})
 
     return run
 
@@ -442,15 +445,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     targets = shuffle_partitions(spark)
     owners = min(1 << filter_bits, 1 << max(0, (targets - 1).bit_length()))
     messages = docs.mapInArrow(_candidate_messages(owners), "owner int, n int, first long, k int, unary binary, rest binary, twice binary")
-    slices = messages.groupBy("owner").applyInPandas(_mark(owners, filter_bits, hot_tasks), "owner int, bits binary, hot binary").collect()
+    slices = messages.groupBy("owner").applyInPandas(_mark(owners, filter_bits, hot_tasks), "owner int, n long, bits binary, hot binary").collect()
     width = (1 << filter_bits) // owners // 8 or 1
     field = bytearray(max(1, (1 << filter_bits) // 8))
     for s in slices:
         field[s.owner * width : (s.owner + 1) * width] = zstandard.decompress(bytes(s.bits))
     hot = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(bytes(s.hot), np.uint64) for s in slices)])
     shared = spark.sparkContext.broadcast(bytes(field))
+    # As many targets as keep what one of them merges, one frame of a task, at about that size.
+    targets = max(targets, -(-sum(s.n for s in slices) * KEY // TARGET_BYTES))
     runs = docs.mapInArrow(_runs(targets, shared, filter_bits, hot), "target int, kind int, n int, keys binary, meta binary")
-    found = runs.groupBy("target").applyInPandas(_merged(most_in_task), "doc long, th long, s int, e int, k1 long, k2 long, open boolean")
+    found = runs.repartition(targets, "target").groupBy("target").applyInPandas(_merged(most_in_task), "doc long, th long, s int, e int, k1 long, k2 long, open boolean")
     found = checkpoint(found)
     windows = found.where("open")
     firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", "first")
