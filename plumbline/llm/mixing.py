@@ -96,13 +96,14 @@ def train(table: DataFrame) -> Classifier:
     if not sizes:
         return Classifier([""], [], [1.0], [[]])
     domains = sorted(r.domain for r in sizes)
-    counts = table.select("domain", F.explode(F.regexp_extract_all("lower", F.lit(r"\S+"), F.lit(0))).alias("word")).groupBy("domain", "word").agg(F.count(F.lit(1)).alias("c"))
+    counts = checkpoint(table.select("domain", F.explode(F.regexp_extract_all("lower", F.lit(r"\S+"), F.lit(0))).alias("word")).groupBy("domain", "word").agg(F.count(F.lit(1)).alias("c")))
     share = counts.join(F.broadcast(counts.groupBy("domain").agg(F.sum("c").alias("all"))), "domain").withColumn("share", F.col("c") / F.col("all"))
     both = share.groupBy("word").agg(F.max(F.struct("share", "domain")).alias("most"), F.sum("share").alias("sum"))
     gain = (2 * F.col("most.share") - F.col("sum")).alias("gain")
     best = both.select("word", F.col("most.domain").alias("domain"), gain).where("gain > 0").withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("gain"), F.desc("word")))).where(F.col("place") <= WORDS_EACH)
     words = sorted({r.word for r in best.collect()})
     sums = {(r.domain, r.word): r.c for r in counts.where(F.col("word").isin(words)).collect()}
+    release(table, counts)
     n = {r.domain: r.n for r in sizes}
     rows = [[sums.get((d, w), 0) + 1.0 for w in words] for d in domains]
     return Classifier(domains, words, [n[d] / sum(n.values()) for d in domains], [[x / sum(row) for x in row] for row in rows])
