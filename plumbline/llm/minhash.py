@@ -221,6 +221,7 @@ def _across(checked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     ranked = own.join(df, ["b", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "e"))).where("df > 1")
     # What a side can still share from its element at this rank on.
     ranked = checkpoint(ranked.select("a", "b", "e", "linked", "excess", "most", "rank", (F.col("size") - F.col("rank") + 1).alias("rest")))
+    release(own)
     y = ranked.where("rank <= most").select("b", "e", F.col("a").alias("y"), F.col("excess").alias("y_excess"), F.col("rest").alias("y_rest"))
     x = ranked.where("not linked").select("b", "e", F.col("a").alias("x"), F.col("excess").alias("x_excess"), F.col("rest").alias("x_rest"))
     enough = F.least("x_rest", "y_rest") >= (F.col("x_excess") + F.col("y_excess")) / 2 - 1e-9
@@ -258,6 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     checked = checkpoint(_similar(stars, sets, similarity))
     links = checked.where("linked").select("a", "b")
     more = checkpoint(_similar(_across(checked, sets, similarity), sets, similarity).where("linked").select("a", "b"))
+    release(sets, members)  # what is left to do reads links, nodes and rows only
     labels = components(links.union(more))
     # Classes are made up of nodes, so that a text of many copies is one row until the last join.
     classed = checkpoint(nodes.join(labels, "node", "left").select("node", "first", "c", F.coalesce("label", "node").alias("class")))
