@@ -1,7 +1,8 @@
-"""Column profiles. Three jobs over a table whatever its width: simple statistics, value frequencies, whole-row duplicates."""
+"""Column profiles. A few jobs over a table whatever its width: statistics, percentiles, value frequencies, whole-row duplicates."""
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from ..types import now, rounded
 # The points and their names.
 PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 COMMON = 5
+#: Intervals that a pass cuts each open range of percentiles into; least number of parts that a column's values are dealt into.
+BINS, PARTS = 1 << 12, 256
 TIME = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -27,14 +30,14 @@ def _profiled(df: DataFrame) -> list[str]:
 
 
 def basic_stats(df: DataFrame) -> DataFrame:
-    """One row: counts of rows and of missing values; extremes, mean, deviation and percentiles of each column."""
+    """One row: counts of rows and of missing values; extremes, mean and deviation of each column."""
     out = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         out.append(F.coalesce(F.sum(missing(df, c).cast("long")), F.lit(0)).alias(f"null_{i}"))
         dtype, value = kind(df, c), present(df, c)
         if is_number(dtype):
             number = value.cast("double")
-            out += [F.min(number).alias(f"min_{i}"), F.max(number).alias(f"max_{i}"), F.avg(number).alias(f"mean_{i}"), F.stddev_samp(number).alias(f"std_{i}"), F.percentile(number, F.array(*map(F.lit, PERCENTILES.values()))).alias(f"pct_{i}")]
+            out += [F.min(number).alias(f"min_{i}"), F.max(number).alias(f"max_{i}"), F.avg(number).alias(f"mean_{i}"), F.stddev_samp(number).alias(f"std_{i}")]
         elif is_time(dtype):
             out += [F.date_format(F.min(value), TIME).alias(f"min_{i}"), F.date_format(F.max(value), TIME).alias(f"max_{i}")]
         elif not isinstance(dtype, T.BooleanType) and c in _profiled(df):
@@ -43,6 +46,51 @@ def basic_stats(df: DataFrame) -> DataFrame:
     return df.agg(*out)
 
 
+def percentiles(df: DataFrame) -> DataFrame:
+    """(column, percentiles): exact and interpolated, of each numeric column; null for a column without values.
+
+    Each pass counts values in BINS intervals of the ranges that still hold a wanted rank and goes on in the intervals
+    where the ranks lie, until these hold one value. A pass is one scan with partial counts: no value is shuffled, and no
+    task holds more than BINS rows of a range. Infinities have intervals of their own.
+    """
+    names = [c for c in df.columns if is_number(kind(df, c))]
+    spark, schema = df.sparkSession, "column string, percentiles array<double>"
+    value = {c: present(df, c).cast("double") for c in names}
+    finite = {c: F.when(F.abs(v) < float("inf"), v) for c, v in value.items()}
+    if not names:
+        return spark.createDataFrame([], schema)
+    ends = df.agg(*(x for i, c in enumerate(names) for x in (F.count(value[c]).alias(f"n{i}"), F.coalesce(F.min(finite[c]), F.lit(0.0)).alias(f"lo{i}"), F.coalesce(F.max(finite[c]), F.lit(0.0)).alias(f"hi{i}")))).first()
+    places = {i: [p * (ends[f"n{i}"] - 1) for p in PERCENTILES.values()] for i in range(len(names)) if ends[f"n{i}"]}
+    # Open ranks: column, rank, the range they lie in, its scale, and how many values are below it.
+    far = float("inf")
+    todo = [(i, r, -far, far, ends[f"lo{i}"], ends[f"hi{i}"], 0) for i, own in places.items() for r in sorted({f(x) for x in own for f in (math.floor, math.ceil)})]
+    found: dict[tuple[int, int], float] = {}
+    while todo:
+        ranks = F.broadcast(spark.createDataFrame(todo, "i int, rank long, first double, last double, lo double, hi double, below long"))
+        ranges = F.broadcast(spark.createDataFrame(sorted({(i, *ends_) for i, _, *ends_, _ in todo}), "i int, first double, last double, lo double, hi double"))
+        open_ = sorted({i for i, *_ in todo})
+        cells = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), value[names[i]].alias("v")) for i in open_))).alias("x")).select("x.*").where("v is not null")
+        cells = cells.join(ranges, "i").where("v between first and last")
+        share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        # The ends of a range are always apart, so that it gets smaller.
+        bin_ = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), BINS).when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), BINS - 1).otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1)))
+        bins = cells.groupBy("i", "first", bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        bins = bins.withColumn("to", F.sum("n").over(Window.partitionBy("i", "first").orderBy("bin")))
+        hit = bins.join(ranks, ["i", "first"]).where("rank >= below + to - n and rank < below + to")
+        todo = []
+        for r in hit.select("i", "rank", "least", "most", (F.col("below") + F.col("to") - F.col("n")).alias("below")).collect():
+            if r.least == r.most:
+                found[r.i, r["rank"]] = r.least
+            else:
+                todo.append((r.i, r["rank"], r.least, r.most, r.least, r.most, r.below))
+
+    def at(i: int, place: float) -> float:
+        low, high = found[i, math.floor(place)], found[i, math.ceil(place)]
+        return low if low == high else low + (high - low) * (place - math.floor(place))
+
+    return spark.createDataFrame([(c, [at(i, x) for x in places[i]] if i in places else None) for i, c in enumerate(names)], schema)
+
+
 def frequencies(df: DataFrame) -> DataFrame:
     """(column, value, n): how often each present value occurs, of all columns in one shuffle with partial counts."""
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _text(df, c).alias("value")) for c in _profiled(df)))).alias("x")).select("x.*")
@@ -51,8 +99,9 @@ def frequencies(df: DataFrame) -> DataFrame:
 
 def value_stats(df: DataFrame) -> DataFrame:
     """(column, unique_count, non_null, most_common): ties of the most common go to the smaller value."""
-    ranked = frequencies(df).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(256)))
-    # First the best of each of 256 parts of a column's values, then the best of those: no column meets in one task.
+    parts = max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    ranked = frequencies(df).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(parts)))
+    # First the best of each part of a column's values, then the best of those: no column meets in one task.
     rank = F.row_number().over(Window.partitionBy("column", "salt").orderBy(F.desc("n"), "value"))
     few = F.collect_list(F.when(F.col("rank") <= COMMON, F.struct((-F.col("n")).alias("m"), "value"))).alias("few")
     parts = ranked.withColumn("rank", rank).groupBy("column", "salt").agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("s"), few)
@@ -88,6 +137,7 @@ class DataProfiler:
         rows = stats["rows"]
         values = {r["column"]: r for r in value_stats(df).collect()} if _profiled(df) else {}
         numeric = [(i, c) for i, c in enumerate(df.columns) if is_number(kind(df, c)) and (stats[f"std_{i}"] or 0) > 0 and rows - stats[f"null_{i}"] >= 3]
+        points = {r["column"]: r["percentiles"] for r in percentiles(df).collect()}
         far = df.agg(*(F.sum((F.abs(present(df, c).cast("double") - F.lit(stats[f"mean_{i}"])) / F.lit(stats[f"std_{i}"]) > self.anomaly_zscore).cast("int")).alias(f"far_{i}") for i, c in numeric)).first() if numeric else None
         samples = self._samples(df, order_by) if rows else {}
         columns = []
@@ -95,7 +145,7 @@ class DataProfiler:
             got = lambda what: stats[f"{what}_{i}"] if f"{what}_{i}" in stats else None  # noqa: B023, E731
             nulls, own = stats[f"null_{i}"], values.get(c)
             unique = own["unique_count"] if own else 0
-            pct = dict(zip(PERCENTILES, got("pct"), strict=True)) if got("pct") else {}
+            pct = dict(zip(PERCENTILES, points[c], strict=True)) if points.get(c) else {}
             columns.append(
                 {
                     "name": c,

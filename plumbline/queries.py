@@ -240,7 +240,7 @@ def pf_06_min_max_mean(spark, d):
 
 @query(numeric_sql("round(quantile_cont($, 0.5), 4) AS median"))
 def pf_07_median(spark, d):
-    return numeric_stats(spark, d, lambda i: F.round(F.col(f"pct_{i}")[1], 4).alias("median"))
+    return profiling.percentiles(read(spark, d, "lineitem").select(*NUMERIC)).select("column", F.round(F.col("percentiles")[1], 4).alias("median"))
 
 
 @query(numeric_sql("round(stddev_samp($), 4) AS std_dev"))
@@ -250,7 +250,8 @@ def pf_08_std_dev(spark, d):
 
 @query(numeric_sql(", ".join(f"round(quantile_cont($, {p}), 4) AS {n}" for n, p in profiling.PERCENTILES.items())))
 def pf_09_percentiles(spark, d):
-    return numeric_stats(spark, d, *((lambda k, n: lambda i: F.round(F.col(f"pct_{i}")[k], 4).alias(n))(k, n) for k, n in enumerate(profiling.PERCENTILES)))
+    points = (F.round(F.col("percentiles")[k], 4).alias(n) for k, n in enumerate(profiling.PERCENTILES))
+    return profiling.percentiles(read(spark, d, "lineitem").select(*NUMERIC)).select("column", *points)
 
 
 @query("""SELECT count(value) AS n, count(*) FILTER (abs(value - m) > 3 * s) AS beyond, round(count(*) FILTER (abs(value - m) > 3 * s) / count(value), 4) AS anomaly_score

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -12,7 +13,7 @@ from plumbline.operators.catalog import MetadataCatalog
 from plumbline.operators.compliance import ComplianceEngine
 from plumbline.operators.evolution import SchemaEvolutionTracker
 from plumbline.operators.lineage import LineageTracker
-from plumbline.operators.profiling import DataProfiler
+from plumbline.operators.profiling import PERCENTILES, DataProfiler, percentiles
 from plumbline.operators.quality import DataQualityValidator
 from plumbline.types import CompatibilityMode, NodeType, RuleSeverity
 
@@ -62,6 +63,30 @@ def test_profile(spark):
     assert p["duplicate_row_count"] == 0 and DataProfiler().detect_schema(df)["category"] == "object"
 
 
+def test_percentiles_by_sorting(spark):
+    inf = math.inf
+    rnd = random.Random(5)
+    columns = {
+        "cents": [round(rnd.uniform(0, 1e5), 2) for _ in range(3000)],
+        "hot": [7.0] * 2900 + [rnd.gauss(0, 1e-9) for _ in range(100)],
+        "wide": [rnd.choice((-1, 1)) * 10.0 ** rnd.uniform(-20, 20) for _ in range(3000)],
+        "ends": [rnd.choice((-inf, -1.5, 0.0, 5e-324, 1e-323, 2.0, inf)) for _ in range(3000)],
+        "gaps": [rnd.choice((None, math.nan, 1.0, 2.0)) for _ in range(3000)],
+        "none": [None] * 3000,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns)).repartition(5)
+    got = {r["column"]: r["percentiles"] for r in percentiles(df).collect()}
+    for c, values in columns.items():
+        own = sorted(v for v in values if v is not None and not math.isnan(v))
+        want = []
+        for p in PERCENTILES.values() if own else ():
+            low, part = divmod(p * (len(own) - 1), 1)
+            a, b = own[int(low)], own[math.ceil(p * (len(own) - 1))]
+            want.append(a if a == b else a + (b - a) * part)
+        assert got[c] == (want or None), c
+    assert percentiles(df.limit(0)).where("percentiles is not null").isEmpty() and percentiles(df.select()).isEmpty()
+
+
 def test_compliance(spark):
     rows = [("Alice Silva", "alice@example.com", "123.456.789-01", "(11) 91234-5678", "Regular", "2020-01-01"), ("Bob Santos", "bob@test.org", "987.654.321-00", "(21) 98765-4321", "VIP", "bad")]
     df = spark.createDataFrame(rows, "customer_name string, email string, cpf string, phone string, notes string, since string")
