@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_text, join_counted, release, sole, texts
+from .common import checkpoint, give_back, id_text, join_counted, release, sole, texts
 
 WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4: a pair of similarity 0.8 shares none with probability 3e-5.
@@ -145,22 +145,34 @@ def _signed(weights: str):
                     ids, hashes, nodes, regions, size = [], [], [], [], 0
             if ids:
                 yield done(ids, hashes, nodes, regions)
+        ids, hashes, nodes, regions = [], [], [], []
+        forget_words()
+        give_back()
 
     return run
 
 
 def _sets(weights: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("minhash", forget_words)
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
-                batch = whole.slice(start, 200)
+                batch = _own_text(whole.slice(start, 200))
                 found = [np.unique(layers(shingles(words_of(text)), weights)).view(np.int64) for text in texts(batch)]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "items"])
+        forget_words()
+        give_back()
 
     return run
 
 
+def _own_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose text is the node's: a short hash may name several."""
+    own = [xxhash.xxh3_128_digest(" ".join(words_of(text)).encode("utf-8", "surrogatepass")) == node for node, text in zip(batch.column("node").to_pylist(), texts(batch), strict=True)]
+    return batch.filter(pa.array(own, pa.bool_()))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the connected components of (a, b) edges: label is the component's least node.
 
@@ -254,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = F.broadcast(one) if one.count() <= BROADCAST_NODES else one.hint("shuffle_hash")
     read = docs.join(one, (F.coalesce(docs.doc_id, F.lit(-1)) == F.col("one_id")) & (docs.th == F.col("one_th"))).select("node", "text")
     # A hash may name several texts: each is hashed again in full, and only the one that belongs to the node counts.
-    sets = read.mapInArrow(_own_text, "node binary, text string").mapInArrow(_sets(weights), "node binary, items array<long>")
+    sets = read.mapInArrow(_sets(weights), "node binary, items array<long>")
     sets = checkpoint(sets.groupBy("node").agg(F.first("items").alias("items")))
     checked = checkpoint(_similar(stars, sets, similarity))
     links = checked.where("linked").select("a", "b")
@@ -268,9 +280,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = join_counted(classed.select("node", "class", "c"), sizes, ["class"], "n", total).select("node", "kept", "class_size", "c")
     own = join_counted(signed.select("doc_id", "th", "node"), known, ["node"], "c", total)
     return own.select("doc_id", F.col("kept.doc_id").alias("class_id"), "class_size", (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("th") == F.col("kept.th"))).alias("kept"), F.col("th").alias("text_hash"))
-
-
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [xxhash.xxh3_128_digest(" ".join(words_of(text)).encode("utf-8", "surrogatepass")) == node for node, text in zip(batch.column("node").to_pylist(), texts(batch), strict=True)]
-        yield batch.filter(pa.array(own, pa.bool_()))
