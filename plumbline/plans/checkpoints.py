@@ -23,7 +23,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete the files of checkpointed frames that nothing reads any more."""
+    """Delete the files of checkpointed frames that nothing reads any more, and let go of what their plans broadcast.
+
+    Spark's cleaner frees broadcasts and shuffles once the driver has collected what named them. Left to chance, a loop
+    of joins would fill the executors with the tables of all its steps, of a memory page each, however small.
+    """
     for df in frames:
         spark = df.sparkSession
         leaves = df._jdf.queryExecution().analyzed().collectLeaves()
@@ -32,3 +36,5 @@ def release(*frames: DataFrame) -> None:
             if file and file.isDefined():
                 path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
