@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import bigram_similarity, masked
+from .functions.columns import bigram_similarity, masked, round_binary
 from .operators import catalog, compliance, evolution, profiling, transforms
 from .operators.lineage import STYLE, LineageGraph, LineageTracker, TransformationRecord
 from .operators.quality import DataQualityValidator
@@ -207,7 +207,7 @@ LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count, round(count(DISTINCT {c}) / count({c}), 4) AS uniqueness FROM lineitem" for c in LINEITEM))
 def pf_03_distinct(spark, d):
-    return profiling.value_stats(read(spark, d, "lineitem")).select("column", "unique_count", F.round(F.col("unique_count") / F.col("non_null"), 4).alias("uniqueness"))
+    return profiling.value_stats(read(spark, d, "lineitem")).select("column", "unique_count", round_binary(F.col("unique_count") / F.col("non_null"), 4).alias("uniqueness"))
 
 
 @query("SELECT p_brand AS value, count(*) AS \"count\" FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5")

@@ -87,6 +87,28 @@ def test_percentiles_by_sorting(spark):
     assert percentiles(df.limit(0)).where("percentiles is not null").isEmpty() and percentiles(df.select()).isEmpty()
 
 
+def distinct_both(spark, folder, rows):
+    """pf_03 and its SQL over a lineitem of these rows, given as a DuckDB query."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"COPY ({rows}) TO '{folder}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    frame = queries.QUERIES["pf_03_distinct"](spark, str(folder)).select("column", "unique_count", "uniqueness")
+    got, want = (sorted((c, n, str(share)) for c, n, share in x) for x in (frame.collect(), con.execute(queries.ORACLES["pf_03_distinct"]).fetchall()))
+    assert len(want) == len(queries.LINEITEM)
+    return got, want
+
+
+LINES = """CAST(i AS BIGINT) AS l_orderkey, CAST(i % 11 AS BIGINT) AS l_partkey, CAST(i % 13 AS BIGINT) AS l_suppkey, CAST(i % 5 AS INTEGER) AS l_linenumber, CAST(i % 29 AS DOUBLE) AS l_quantity,
+CAST(i % 31 AS DOUBLE) AS l_extendedprice, CAST(i % 7 AS DOUBLE) AS l_discount, CAST(i % 3 AS DOUBLE) AS l_tax, CAST(i % 2 AS VARCHAR) AS l_returnflag, 'x' AS l_linestatus, TIMESTAMP '2020-01-01' + to_days(CAST(i % 19 AS INTEGER)) AS l_shipdate"""
+
+
+def test_shares_round_as_in_sql(spark, tmp_path):
+    # Odd numbers of values over 20,000 rows: their shares lie halfway between fourth digits, as doubles just below or above.
+    got, want = distinct_both(spark, tmp_path, f"SELECT {LINES} FROM range(20000) r(i)")
+    assert got == want and ("l_tax", 3, "0.0001") in got and ("l_linenumber", 5, "0.0003") in got
+
+
 def test_compliance(spark):
     rows = [("Alice Silva", "alice@example.com", "123.456.789-01", "(11) 91234-5678", "Regular", "2020-01-01"), ("Bob Santos", "bob@test.org", "987.654.321-00", "(21) 98765-4321", "VIP", "bad")]
     df = spark.createDataFrame(rows, "customer_name string, email string, cpf string, phone string, notes string, since string")
