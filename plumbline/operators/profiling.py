@@ -24,6 +24,14 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.date_format(quoted(name), TIME) if is_time(kind(df, name)) else present(df, name).cast("string")
 
 
+def _exact(df: DataFrame, name: str) -> Column:
+    """The text that values are told apart by: with fractions of a second, and one zero for both signs."""
+    dtype, value = kind(df, name), present(df, name)
+    if is_time(dtype) and not isinstance(dtype, T.DateType):
+        return value.cast("string")
+    return (value + F.lit(0).cast(dtype)).cast("string") if isinstance(dtype, (T.DoubleType, T.FloatType)) else _text(df, name)
+
+
 def _profiled(df: DataFrame) -> list[str]:
     """Columns with values that can be compared; maps, arrays and structs are reported by their nulls alone."""
     return [c for c in df.columns if not isinstance(kind(df, c), (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
@@ -93,19 +101,21 @@ def percentiles(df: DataFrame) -> DataFrame:
 
 def frequencies(df: DataFrame) -> DataFrame:
     """(column, value, n): how often each present value occurs, of all columns in one shuffle with partial counts."""
-    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _text(df, c).alias("value")) for c in _profiled(df)))).alias("x")).select("x.*")
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _exact(df, c).alias("value")) for c in _profiled(df)))).alias("x")).select("x.*")
     return cells.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def value_stats(df: DataFrame) -> DataFrame:
-    """(column, unique_count, non_null, most_common): ties of the most common go to the smaller value."""
+    """(column, unique_count, non_null, most_common): a row for each column, with or without values; ties of the most common go to the smaller value."""
     parts = max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     ranked = frequencies(df).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(parts)))
     # First the best of each part of a column's values, then the best of those: no column meets in one task.
     rank = F.row_number().over(Window.partitionBy("column", "salt").orderBy(F.desc("n"), "value"))
     few = F.collect_list(F.when(F.col("rank") <= COMMON, F.struct((-F.col("n")).alias("m"), "value"))).alias("few")
     parts = ranked.withColumn("rank", rank).groupBy("column", "salt").agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("s"), few)
-    merged = parts.groupBy("column").agg(F.sum("u").alias("unique_count"), F.sum("s").alias("non_null"), F.flatten(F.collect_list("few")).alias("few"))
+    empty = F.array().cast("array<struct<m:bigint,value:string>>").alias("few")
+    none = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, _profiled(df)))).alias("column"), F.lit(0).alias("salt"), F.lit(0).alias("u"), F.lit(0).alias("s"), empty)
+    merged = parts.unionByName(none).groupBy("column").agg(F.sum("u").alias("unique_count"), F.sum("s").alias("non_null"), F.flatten(F.collect_list("few")).alias("few"))
     return merged.select("column", "unique_count", "non_null", F.transform(F.slice(F.array_sort("few"), 1, COMMON), lambda x: F.struct(x["value"].alias("value"), (-x["m"]).alias("count"))).alias("most_common"))
 
 

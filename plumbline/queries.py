@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import cache
@@ -207,7 +208,8 @@ LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count, round(count(DISTINCT {c}) / count({c}), 4) AS uniqueness FROM lineitem" for c in LINEITEM))
 def pf_03_distinct(spark, d):
-    return profiling.value_stats(read(spark, d, "lineitem")).select("column", "unique_count", round_binary(F.col("unique_count") / F.col("non_null"), 4).alias("uniqueness"))
+    share = F.when(F.col("non_null") > 0, F.col("unique_count") / F.col("non_null")).otherwise(F.lit(math.nan))
+    return profiling.value_stats(read(spark, d, "lineitem")).select("column", "unique_count", round_binary(share, 4).alias("uniqueness"))
 
 
 @query("SELECT p_brand AS value, count(*) AS \"count\" FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5")

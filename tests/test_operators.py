@@ -109,6 +109,15 @@ def test_shares_round_as_in_sql(spark, tmp_path):
     assert got == want and ("l_tax", 3, "0.0001") in got and ("l_linenumber", 5, "0.0003") in got
 
 
+@pytest.mark.parametrize("rows", (60, 0))
+def test_distinct_of_odd_columns(spark, tmp_path, rows):
+    # Both zeros, moments within a second, a column without values; then no row at all.
+    odd = "* EXCLUDE (i) REPLACE (CASE WHEN i % 3 = 0 THEN 0.0 WHEN i % 3 = 1 THEN '-0.0'::DOUBLE ELSE 0.5 END AS l_tax, l_shipdate + to_microseconds(i) AS l_shipdate, CAST(NULL AS VARCHAR) AS l_linestatus)"
+    got, want = distinct_both(spark, tmp_path, f"SELECT {odd} FROM (SELECT i, {LINES} FROM range({rows}) r(i))")
+    assert got == want and ("l_linestatus", 0, "nan") in got
+    assert [n for c, n, _ in got if c in ("l_tax", "l_shipdate")] == ([60, 2] if rows else [0, 0])
+
+
 def test_compliance(spark):
     rows = [("Alice Silva", "alice@example.com", "123.456.789-01", "(11) 91234-5678", "Regular", "2020-01-01"), ("Bob Santos", "bob@test.org", "987.654.321-00", "(21) 98765-4321", "VIP", "bad")]
     df = spark.createDataFrame(rows, "customer_name string, email string, cpf string, phone string, notes string, since string")
